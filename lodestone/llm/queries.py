@@ -7,12 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import sharding
+from lodestone.llm import langid, packing, sharding, tokenfile, toxicity
 from lodestone.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(mod: int, rest: int):
+    """Whether crc32 of the document's id as text leaves ``rest`` (null id: the empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == rest
+
+
+def vocabulary() -> str:
+    """The tokenizer file that the contracts name."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048, 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, counts at most one apart; see :mod:`sharding`."""
     docs = table(spark, sf_dir, "documents").select(
@@ -27,6 +50,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), vocabulary(), 1)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(4, 2)).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -36,7 +69,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = [op6_sharding]
+    own = [op1_toxicity, op2_packing, op6_sharding, op7_token_files, op9_language_id]
     return {q.__name__: _shipped(q) for q in own}
 
 
