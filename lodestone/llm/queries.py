@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, packing, sharding, tokenfile, toxicity
+from lodestone.llm import interpolation, langid, packing, sharding, simhash, tokenfile, toxicity
 from lodestone.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048, 0)
 
 
+def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(7, 2)).alias("train"))
+    return interpolation.score(docs).withColumn("held_out", held_out(7, 2))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, counts at most one apart; see :mod:`sharding`."""
     docs = table(spark, sf_dir, "documents").select(
@@ -60,6 +65,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -69,7 +78,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op2_packing, op6_sharding, op7_token_files, op9_language_id]
+    own = [op1_toxicity, op2_packing, op4_interpolation, op6_sharding, op7_token_files, op9_language_id, op10_simhash]
     return {q.__name__: _shipped(q) for q in own}
 
 

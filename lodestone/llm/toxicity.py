@@ -140,11 +140,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 4_096, prior: float = 500.0, z: float = 4.0, drift: float = 0.08) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 4_096, prior: float = 100.0, z: float = 3.0, drift: float = 0.08, least_share: float = 0.02) -> Model:
     """Fit on labelled rows: ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     ``max_rows`` bounds the labelled rows that are used (those of least hash of their ids),
-    ``max_words`` the words with a score. Rows with null ids, texts or labels teach
+    ``max_words`` the words with a score. A word needs ``z`` standard deviations and must occur
+    in as many rows as ``least_share`` of the toxic ones. Rows with null ids, texts or labels teach
     nothing. With no toxic or no clean row the model finds nothing and scores all texts alike.
     """
     chosen = (
@@ -152,24 +153,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     # at most max_rows narrow rows are broadcast
-    sample = written(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    sample = written(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "labelled")
     counts = _class_counts(sample)
     n = counts.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
     n0, n1 = float(n["c0"] or 0), float(n["c1"] or 0)
+    n_toxic = sample.where("toxic = 1").count()
     if not n0 or not n1:
         drop(sample)
         return Model(np.zeros(0, U), np.zeros(0), drift, a=-2.0 if not n1 else 2.0, b=0.0)
-    pr = prior * (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
+    pr = 0.5 + prior * (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
     y0, y1 = F.col("c0") + pr, F.col("c1") + pr
     odds = F.log(y1 / (n1 + prior - y1)) - F.log(y0 / (n0 + prior - y0))
     sd = F.sqrt(1 / y0 + 1 / y1)
     top = (
-        counts.where(F.col("docs") >= 5).select("hash", "c0", odds.alias("odds"), sd.alias("sd"))
+        counts.where(F.col("docs") >= max(5, least_share * n_toxic)).select("hash", "c0", odds.alias("odds"), sd.alias("sd"))
         .where(F.col("odds") > z * F.col("sd")).orderBy(F.desc(F.col("odds") / F.col("sd")), "hash").limit(max_words).toPandas()
     )
     keys = top["hash"].to_numpy(np.int64).view(U)
     order = np.argsort(keys)
-    values = (top["odds"] - top["sd"]).to_numpy(float)[order]
+    values = (top["odds"] - 2 * top["sd"]).to_numpy(float)[order]
     model = Model(keys[order], values, drift)
     share = (top["c0"].to_numpy(float)[order] + 0.5) / n0
     model.lam = _karlin(values, share, drift)
