@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import interpolation, langid, packing, sharding, simhash, tokenfile, toxicity
+from lodestone.llm import interpolation, jaccard, langid, packing, repeats, sharding, simhash, tokenfile, toxicity
 from lodestone.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(docs).withColumn("held_out", held_out(7, 2))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards, counts at most one apart; see :mod:`sharding`."""
     docs = table(spark, sf_dir, "documents").select(
@@ -59,6 +63,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), vocabulary(), 1)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out(4, 2)).select("text", "lang"))
@@ -78,7 +88,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op2_packing, op4_interpolation, op6_sharding, op7_token_files, op9_language_id, op10_simhash]
+    own = [op1_toxicity, op2_packing, op4_interpolation, op5_jaccard, op6_sharding, op7_token_files, op8_suffix_dedup, op9_language_id, op10_simhash]
     return {q.__name__: _shipped(q) for q in own}
 
 
