@@ -156,12 +156,12 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 60_000,
     total = labelled.count()
     if total > max_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
-    best = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "hash")
-    rows = (
-        count_grams(labelled).withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-        .drop("_rank").toArrow()  # bounded by the parameters above
-    )
+    counted, kept = count_grams(labelled), F.when(F.col("n") == 0, max_words).otherwise(max_grams)
+    for key in (["lang", "n", F.pmod("hash", F.lit(64))], ["lang", "n"]):  # the best of each part first, so no task ranks all
+        best = Window.partitionBy(*key).orderBy(F.desc("c"), "hash")
+        part = kept / 16 if len(key) == 3 else kept
+        counted = counted.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= part).drop("_rank")
+    rows = counted.toArrow()  # bounded by the parameters above
     lang, n, key, c = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("lang", "n", "hash", "c"))
     langs = sorted(set(lang))
     index = {x: k for k, x in enumerate(langs)}

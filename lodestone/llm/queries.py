@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import interpolation, jaccard, langid, packing, repeats, sharding, simhash, tokenfile, toxicity
+from lodestone.llm import decontam, interpolation, jaccard, langid, packing, repeats, sharding, simhash, tokenfile, toxicity
 from lodestone.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048, 0)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(7, 2)).alias("train"))
     return interpolation.score(docs).withColumn("held_out", held_out(7, 2))
@@ -88,7 +94,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op2_packing, op4_interpolation, op5_jaccard, op6_sharding, op7_token_files, op8_suffix_dedup, op9_language_id, op10_simhash]
+    own = [op1_toxicity, op2_packing, op3_decontamination, op4_interpolation, op5_jaccard, op6_sharding, op7_token_files, op8_suffix_dedup, op9_language_id, op10_simhash]
     return {q.__name__: _shipped(q) for q in own}
 
 
