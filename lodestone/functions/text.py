@@ -34,9 +34,9 @@ def identifier_tokens(name: Column, conceptual: bool = False) -> Column:
     for alias, word in V.ALIASES.items():
         at = F.transform(tokens, lambda t: F.when(t == alias, F.lit(word)).otherwise(t))  # noqa: B023
         tokens = at
-    drop = (F.size(tokens) > 1) & F.array_contains(_words(V.ACTION_PREFIXES), F.element_at(tokens, 1))
+    drop = (F.size(tokens) > 1) & F.array_contains(_words(V.ACTION_PREFIXES), F.try_element_at(tokens, F.lit(1)))
     tokens = F.when(drop, F.slice(tokens, 2, V.MAX_IDENTIFIER_CHARS)).otherwise(tokens)
-    drop = (F.size(tokens) > 1) & F.array_contains(_words(V.MEASUREMENT_SUFFIXES), F.element_at(tokens, -1))
+    drop = (F.size(tokens) > 1) & F.array_contains(_words(V.MEASUREMENT_SUFFIXES), F.try_element_at(tokens, F.lit(-1)))
     return F.when(drop, F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens)
 
 
@@ -45,8 +45,8 @@ def eligible_identifier(tokens: Column) -> Column:
     telling = F.filter(tokens, lambda t: ~F.array_contains(_words(V.COMMON_WORDS), t))
     number = lambda t: t.rlike("^[0-9]+$")
     plain = F.forall(telling, lambda t: F.octet_length(t) == F.length(t))
-    entity = (F.size(tokens) >= 2) & (F.element_at(tokens, -1) == "id") & F.exists(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.length(t) >= 3)
-    one = (F.length(F.element_at(telling, 1)) >= 6) & ~number(F.element_at(telling, 1))
+    entity = (F.size(tokens) >= 2) & (F.try_element_at(tokens, F.lit(-1)) == "id") & F.exists(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.length(t) >= 3)
+    one = (F.length(F.try_element_at(telling, F.lit(1))) >= 6) & ~number(F.try_element_at(telling, F.lit(1)))
     many = F.size(F.filter(telling, lambda t: (F.length(t) >= 3) & ~number(t))) >= 2
     return F.when(F.size(telling) == 0, F.when(F.size(tokens) >= 2, entity).otherwise(False)).when(~plain, F.exists(telling, lambda t: F.length(t) >= 4)).when(F.size(telling) == 1, one).otherwise(many)
 
@@ -133,7 +133,7 @@ def path_normalised(path: Column) -> Column:
     """Path without empty, ``.`` and resolvable ``..`` segments."""
     fold = F.aggregate(
         F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")), F.array().cast("array<string>"),
-        lambda acc, s: F.when((s == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        lambda acc, s: F.when((s == "..") & (F.size(acc) > 0) & (F.try_element_at(F.concat(F.array(F.lit("")), acc), F.lit(-1)) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .when((s == "..") & path.startswith("/"), acc).otherwise(F.concat(acc, F.array(s))),
     )
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(fold, "/"))
@@ -166,7 +166,7 @@ def salience(level: Column, floor: float = 0.4) -> Column:
 def last_segment(path: Column) -> Column:
     """Last telling segment of a schema path."""
     parts = F.filter(F.split(path, r"[/.\[\]]+"), lambda s: ~s.isin("", "*", "$"))
-    return F.element_at(parts, -1)
+    return F.try_element_at(parts, F.lit(-1))
 
 
 def prose_cue(sentence: Column) -> Column:
