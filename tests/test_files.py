@@ -67,6 +67,14 @@ def test_binary_formats(tmp_path):
     c.close()
     got = units("sqlite", (tmp_path / "a.db").read_bytes())
     assert "s.p -> p.id" in [u[1] for u in got] and "canary" not in str(got)
+    import duckdb
+
+    d = duckdb.connect(str(tmp_path / "a.duckdb"))
+    d.execute("CREATE TABLE t(x INTEGER NOT NULL, y VARCHAR)")
+    d.execute("INSERT INTO t VALUES (1, 'canary')")
+    d.close()
+    got = units("duckdb", (tmp_path / "a.duckdb").read_bytes())
+    assert [u[1] for u in got] == ["table main.t", "t.x: INTEGER; not null", "t.y: VARCHAR"]
     cards = ["SIMPLE  =                    T", "BITPIX  =                   16", "NAXIS   =                    1", "NAXIS1  =                    4", "END"]
     head = "".join(x.ljust(80) for x in cards).ljust(2880).encode()
     assert "axes [4]" in units("fits", head + struct.pack(">4h", 1, 2, 3, 4).ljust(2880, b"\0"))[0][1]
