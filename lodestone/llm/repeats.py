@@ -40,6 +40,8 @@ GRAM = 64
 _LOW = U((1 << 48) - 1)
 #: An anchor with more distinct supports than this is split by its windows' hashes.
 HOT = 400
+#: Symbols in one lot of suffix arrays.
+LOT = 400_000
 
 
 def _least(x: np.ndarray, w: int, pick=np.minimum) -> np.ndarray:
@@ -288,9 +290,9 @@ def second_pass(table: DataFrame, verdicts: DataFrame, buckets: int, deeper: int
             edges = np.flatnonzero(np.r_[True, inst[o][1:] != inst[o][:-1]]) if len(o) else np.zeros(0, int)
             total = np.cumsum(many[o])
             k = 0
-            while k < len(edges):  # whole instances, about two million symbols at a time
+            while k < len(edges):  # whole instances, at most about LOT symbols at a time
                 base = total[edges[k]] - many[o[edges[k]]]
-                nxt = max(k + 1, int(np.searchsorted(total[edges], base + 2_000_000)))
+                nxt = max(k + 1, int(np.searchsorted(total[edges], base + LOT)))
                 lot = o[edges[k] : edges[nxt] if nxt < len(edges) else len(o)]
                 text, offset, kind = _window_runs([data[s : s + m] for s, m in zip(start[lot], many[lot], strict=True)], inst[lot], length)
                 text = lot[text]
@@ -307,7 +309,7 @@ def second_pass(table: DataFrame, verdicts: DataFrame, buckets: int, deeper: int
     return sent.groupBy("bucket").applyInArrow(sort_windows, "stage int, bucket int, block string, out binary, closer long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 4 << 20, keys_per_bucket: int = 1_000_000, closer_per_bucket: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 2 << 20, keys_per_bucket: int = 400_000, closer_per_bucket: int = 10_000) -> DataFrame:
     """``docs`` with each byte gone that lies in a ``length``-byte string that also starts earlier.
 
     Earlier: in a document of smaller doc_id, or earlier in the same; rows with null ids come
