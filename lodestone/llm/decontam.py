@@ -5,8 +5,9 @@ as a share of the score that the item itself would get, so one threshold suits
 all items. Postings are cut into blocks with their greatest weight.
 
 *Retrieval.* Texts are cut into overlapping passages, long enough that any item lies whole
-in one. A passage whose words' greatest weights don't add up to the threshold is passed
-over by one array operation. Others run block-max WAND: lists are kept in order of their
+in one. Frequent words that no item needs for half the threshold are set aside; from the others an
+array operation sums, for every passage and item at once, an upper bound of the score, and passages where
+none reaches the threshold are passed over. The rest run block-max WAND: lists are kept in order of their
 next items, the pivot is where summed bounds reach the threshold, and blocks whose greatest
 weights fall short are skipped. Every item at or above the threshold is found.
 
@@ -57,8 +58,8 @@ def _grams(h: np.ndarray, size: int) -> set[bytes]:
 class Index:
     """Inverted index of items, with block-max WAND retrieval."""
 
-    def __init__(self, ids: list[int], texts: list[str], block: int = 32, size: int = 5):
-        self.ids, self.size, self.block = ids, size, block
+    def __init__(self, ids: list[int], texts: list[str], block: int = 32, size: int = 5, least: float = 0.5):
+        self.ids, self.size, self.block, self.least = ids, size, block, least
         parts = [split_item(t or "", size) for t in texts]
         self.question = _word_hashes([q for q, _ in parts])
         self.answer = _word_hashes([a for _, a in parts])
@@ -80,6 +81,17 @@ class Index:
         self.weights = [[v for _, v in lists[w]] for w in self.words.tolist()]
         self.block_best = [[max(v[i : i + block]) for i in range(0, len(v), block)] for v in self.weights]
         self.best = np.array([max(v) for v in self.weights])
+        # frequent words are set aside while no item would get half the threshold from them
+        aside, rare = np.zeros(len(items)), np.ones(len(self.words), bool)
+        for t in sorted(range(len(self.words)), key=lambda t: -len(self.items[t])):
+            if len(self.items[t]) > 1 and all(aside[k] + v <= least / 2 for k, v in zip(self.items[t], self.weights[t], strict=True)):
+                aside[self.items[t]] += self.weights[t]
+                rare[t] = False
+        self.need = least - aside
+        self.count = np.array([len(x) if r else 0 for x, r in zip(self.items, rare, strict=True)], np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.rare_items = np.array([k for x, r in zip(self.items, rare, strict=True) if r for k in x], np.int64)
+        self.rare_weights = np.array([v for x, r in zip(self.weights, rare, strict=True) if r for v in x], float)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The index's numbers of words; -1 for others."""
@@ -88,8 +100,18 @@ class Index:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
-    def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """(item number, score) of all items scoring ``least`` or more for a set of words."""
+    def reachable(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Of (passage, word) pairs: passages in which some item may reach the threshold."""
+        many = self.count[term]
+        at = ragged(self.first[term], many)
+        key = np.repeat(passage, many) * len(self.need) + self.rare_items[at]
+        keys, which = np.unique(key, return_inverse=True)
+        total = np.bincount(which, weights=self.rare_weights[at], minlength=len(keys))
+        return np.unique(keys[total >= self.need[keys % len(self.need)] - 1e-9] // len(self.need))
+
+    def search(self, terms: list[int], least: float | None = None) -> list[tuple[int, float]]:
+        """(item number, score) of all items at or above a threshold for a set of words."""
+        least = self.least if least is None else least
         found = []
         at = dict.fromkeys(terms, 0)
         while True:
@@ -137,7 +159,7 @@ class Index:
         return out[0], out[1]
 
 
-def _leaks(index: Index, least: float, overlap: float, column: pa.Array) -> list[list[dict]]:
+def _leaks(index: Index, overlap: float, column: pa.Array) -> list[list[dict]]:
     buf, bounds = column_bytes(column)
     n = len(bounds) - 1
     out: list[dict[int, dict]] = [{} for _ in range(n)]
@@ -146,25 +168,28 @@ def _leaks(index: Index, least: float, overlap: float, column: pa.Array) -> list
         return [[] for _ in range(n)]
     h = span_hash(prefix(buf, lower=True), s, e)
     term = index.find(h)
-    bound = np.concatenate([[0], np.cumsum(np.where(term >= 0, index.best[term], 0.0))])
     size = max(64, 2 * index.longest)
     step = size // 2
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     per = np.where(count > 0, np.maximum(1, -(-(count - size) // step) + 1), 0)
+    before = np.cumsum(per) - per  # passages of earlier rows
     doc = np.repeat(np.arange(n), per)
-    start = first[doc] + step * ragged(np.zeros(n, np.int64), per)
+    start = first[doc] + step * (np.arange(len(doc)) - before[doc])
     end = np.minimum(start + size, first[doc] + count[doc])
-    for k in np.flatnonzero(bound[end] - bound[start] >= least - 1e-9):
-        a, b, d = start[k], end[k], doc[k]
-        own = np.unique(term[a:b])
-        own = own[own >= 0]
-        if index.best[own].sum() < least:
-            continue
-        for item, score in index.search(own.tolist(), least):
+    # a word lies in the passage that begins in its step, and in the one before
+    at = np.flatnonzero(term >= 0)
+    at = at[index.count[term[at]] > 0]
+    d = row[at]
+    own = (at - first[d]) // step
+    pairs = [(before[d[ok]] + own[ok] - k, term[at[ok]]) for k in (0, 1) for ok in [(own - k >= 0) & (own - k < per[d])]]
+    for k in index.reachable(*(np.concatenate(x) for x in zip(*pairs, strict=True))):
+        a, b, i = start[k], end[k], doc[k]
+        terms = np.unique(term[a:b])
+        for item, score in index.search(terms[terms >= 0].tolist()):
             q, r = index.overlaps(item, h[a:b])
-            if q >= overlap and r >= overlap and score > out[d].get(item, {"score": -1.0})["score"]:
-                out[d][item] = {"item_id": index.ids[item], "score": float(score), "question_overlap": q, "answer_overlap": r}
+            if q >= overlap and r >= overlap and score > out[i].get(item, {"score": -1.0})["score"]:
+                out[i][item] = {"item_id": index.ids[item], "score": float(score), "question_overlap": q, "answer_overlap": r}
     return [[x[k] for k in sorted(x)] for x in out]
 
 
@@ -189,14 +214,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least:
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = own.orderBy("item_id", "text").collect()  # about index_bytes of text
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], least=least))
         names = out.columns
         at, earlier = names.index(text), names.index("leaks") if part else None
 
         def run(batches: Iterator[pa.RecordBatch], index=index, names=names, at=at, earlier=earlier) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in chunks(batch, text):
-                    found = _leaks(index.value, least, overlap, b.column(at))
+                    found = _leaks(index.value, overlap, b.column(at))
                     cols = list(b.columns)
                     if earlier is None:
                         yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.list_(LEAK))], names=[*names, "leaks"])
