@@ -15,6 +15,11 @@ def _words(items: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in items])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def identifier_tokens(name: Column, conceptual: bool = False) -> Column:
     """Tokens of an identifier.
 
@@ -31,24 +36,29 @@ def identifier_tokens(name: Column, conceptual: bool = False) -> Column:
     tokens = F.when(F.length(name) > V.MAX_IDENTIFIER_CHARS, F.array().cast("array<string>")).when(F.octet_length(name) == F.length(name), ascii_).otherwise(other)
     if not conceptual:
         return tokens
-    for alias, word in V.ALIASES.items():
-        at = F.transform(tokens, lambda t: F.when(t == alias, F.lit(word)).otherwise(t))  # noqa: B023
-        tokens = at
-    drop = (F.size(tokens) > 1) & F.array_contains(_words(V.ACTION_PREFIXES), F.try_element_at(tokens, F.lit(1)))
-    tokens = F.when(drop, F.slice(tokens, 2, V.MAX_IDENTIFIER_CHARS)).otherwise(tokens)
-    drop = (F.size(tokens) > 1) & F.array_contains(_words(V.MEASUREMENT_SUFFIXES), F.try_element_at(tokens, F.lit(-1)))
-    return F.when(drop, F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens)
+    aliased = F.transform(tokens, lambda t: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.ALIASES.items() for x in kv]), t), t))
+
+    def without_prefix(t: Column) -> Column:
+        return F.when((F.size(t) > 1) & F.array_contains(_words(V.ACTION_PREFIXES), F.try_element_at(t, F.lit(1))), F.slice(t, 2, V.MAX_IDENTIFIER_CHARS)).otherwise(t)
+
+    def without_suffix(t: Column) -> Column:
+        return F.when((F.size(t) > 1) & F.array_contains(_words(V.MEASUREMENT_SUFFIXES), F.try_element_at(t, F.lit(-1))), F.slice(t, F.lit(1), F.size(t) - 1)).otherwise(t)
+
+    return let(aliased, lambda t: let(without_prefix(t), without_suffix))
 
 
 def eligible_identifier(tokens: Column) -> Column:
     """Whether tokens are specific enough to match on."""
-    telling = F.filter(tokens, lambda t: ~F.array_contains(_words(V.COMMON_WORDS), t))
     number = lambda t: t.rlike("^[0-9]+$")
-    plain = F.forall(telling, lambda t: F.octet_length(t) == F.length(t))
-    entity = (F.size(tokens) >= 2) & (F.try_element_at(tokens, F.lit(-1)) == "id") & F.exists(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.length(t) >= 3)
-    one = (F.length(F.try_element_at(telling, F.lit(1))) >= 6) & ~number(F.try_element_at(telling, F.lit(1)))
-    many = F.size(F.filter(telling, lambda t: (F.length(t) >= 3) & ~number(t))) >= 2
-    return F.when(F.size(telling) == 0, F.when(F.size(tokens) >= 2, entity).otherwise(False)).when(~plain, F.exists(telling, lambda t: F.length(t) >= 4)).when(F.size(telling) == 1, one).otherwise(many)
+
+    def judge(tokens: Column, telling: Column) -> Column:
+        plain = F.forall(telling, lambda t: F.octet_length(t) == F.length(t))
+        entity = (F.try_element_at(tokens, F.lit(-1)) == "id") & F.exists(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t: F.length(t) >= 3)
+        first = F.try_element_at(telling, F.lit(1))
+        many = F.size(F.filter(telling, lambda t: (F.length(t) >= 3) & ~number(t))) >= 2
+        return F.when(F.size(telling) == 0, F.when(F.size(tokens) >= 2, entity).otherwise(False)).when(~plain, F.exists(telling, lambda t: F.length(t) >= 4)).when(F.size(telling) == 1, (F.length(first) >= 6) & ~number(first)).otherwise(many)
+
+    return let(tokens, lambda own: let(F.filter(own, lambda t: ~F.array_contains(_words(V.COMMON_WORDS), t)), lambda telling: judge(own, telling)))
 
 
 def generic_field(tokens: Column) -> Column:
