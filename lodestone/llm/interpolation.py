@@ -259,7 +259,7 @@ def learn_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndar
     return out
 
 
-def score(docs: DataFrame, deleted_of: int = 8, block_bytes: int = 4 << 20, keys_per_bucket: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, deleted_of: int = 8, block_bytes: int = 2 << 20, keys_per_bucket: int = 600_000) -> DataFrame:
     """Log10 probability of each text of ``docs(doc_id, text, train)``.
 
     (doc_id, n_tokens, n_known, train_tokens, base_score, score). Documents with ``train``
