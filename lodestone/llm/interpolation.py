@@ -85,7 +85,7 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
         held: dict[bool, list] = {True: [], False: []}
         size = {True: 0, False: 0}
         for batch in batches:
-            for b in chunks(batch, "text", block_bytes):
+            for b in chunks(batch, "text", block_bytes // 4):
                 flag = b.column("deleted")
                 for d in (True, False):
                     part = b.filter(flag if d else pc.invert(flag))

@@ -146,7 +146,7 @@ def blocks(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for b in chunks(batch, "text", block_bytes):
+            for b in chunks(batch, "text", block_bytes // 4):
                 held.append(b)
                 size += b.nbytes
                 if size >= block_bytes:

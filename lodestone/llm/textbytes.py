@@ -7,11 +7,18 @@ prefix sums of a polynomial modulo 2**64, so a word costs the same at any length
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Arrays of a megabyte and more go back to the system when they are freed. By default the C library
+# raises that limit as a worker runs, and a worker that serves many stages keeps what its largest one took.
+with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 2**64)
@@ -61,7 +68,7 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, bounds - bounds[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each; rows stay whole."""
     _, bounds = column_bytes(batch.column(text))
     at, n = 0, batch.num_rows
