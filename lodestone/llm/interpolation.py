@@ -1,12 +1,13 @@
-"""A bigram language model by deleted interpolation, trained and applied in one corpus.
+"""An n-gram language model by deleted interpolation, trained and applied in one corpus.
 
-    P(w | h) = l2 c(h w) / c(h) + l1 c(w) / N + l0 / (V + 1)
+    P2(w | v) = l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1)
+    Pk(w | h) = mk c(h w) / c(h) + (1 - mk) Pk-1(w | h without its first word)     for k = 3 to the order
 
-The weights l depend on the bucket of the context's frequency, c(h): 0, 1, 2-3, 4-7 and so
-on. They are learned by expectation-maximisation on held-out counts: an eighth of
+The weights l and m depend on the bucket of the context's frequency, c(v) or c(h): 0, 1, 2-3, 4-7 and so
+on. They are learned by expectation-maximisation on held-out counts, the lowest order first: an eighth of
 the training documents is deleted from the counts, and its events are explained by
 the rest. Scores then use the counts of all training documents. Contexts begin
-with a start mark, and every document ends with an end token, so the weights of
+with start marks, and every document ends with an end token, so the weights of
 all texts sum to one.
 
 How it scales. Documents become blocks of codes, written once. Each block sends its
@@ -14,7 +15,7 @@ How it scales. Documents become blocks of codes, written once. Each block sends
 the counts and sends them back to each block in the same order. So a frequent word or
 pair costs a block one entry, no bucket is hot, no table of counts is broadcast or
 collected, and scores are made where the tokens are. The driver sees the number
-of tokens and types, and a histogram of held-out events of bounded size.
+of tokens and types, and for each order a histogram of held-out events of bounded size.
 """
 
 from __future__ import annotations
@@ -103,23 +104,31 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
 
 
 class Block:
-    """A block's tokens with its distinct words (order 1) and pairs (order 2)."""
+    """A block's tokens with its distinct n-grams of each order.
 
-    def __init__(self, row: dict, buckets: int):
+    ``gram[k]`` is each token's n-gram of order k, and ``context[k]`` the one of order k - 1 before it;
+    the code after the last stands for a context of start marks alone.
+    """
+
+    def __init__(self, row: dict, buckets: int, order: int):
         self.doc_ids, self.deleted = row["doc_ids"], row["deleted"]
         self.sizes = _unpack(row["sizes"]).astype(np.int64)
         self.trained = _unpack(row["trained"]).astype(bool)
         self.vocabulary = np.frombuffer(row["vocabulary"], U)
         self.w = _unpack(row["codes"]).astype(np.int64)
         n = len(self.vocabulary)
-        begin = np.cumsum(self.sizes) - self.sizes
-        self.h = np.r_[n, self.w[:-1]] if len(self.w) else self.w
-        self.h[begin] = n  # the start mark's code
-        self.begin = begin
+        self.begin = np.cumsum(self.sizes) - self.sizes
         self.in_train = np.repeat(self.trained, self.sizes)
-        pair, self.pair_of = np.unique(self.h * (n + 1) + self.w, return_inverse=True)
         names = np.r_[self.vocabulary, START]
-        self.keys = {1: mix(names), 2: mix(names[pair // (n + 1)] * U(0x9E3779B97F4A7C15) + names[pair % (n + 1)])}
+        self.keys, self.gram, self.context = {1: mix(names)}, {1: self.w}, {}
+        before, starts = names, n  # names of contexts, and the code of start marks
+        for k in range(2, order + 1):
+            h = np.r_[starts, self.gram[k - 1][:-1]] if len(self.w) else self.w
+            h[self.begin] = starts
+            pair, self.gram[k] = np.unique(h * (n + 1) + self.w, return_inverse=True)
+            self.keys[k] = mix(before[pair // (n + 1)] * U(0x9E3779B97F4A7C15) + names[pair % (n + 1)])
+            self.context[k], starts = h, len(pair)
+            before = np.r_[self.keys[k], START]
         self.order, self.bucket = {}, {}
         for k, key in self.keys.items():
             at = ((key >> U(48)) % U(buckets)).astype(np.int64)
@@ -127,10 +136,9 @@ class Block:
             self.bucket[k] = np.searchsorted(at[self.order[k]], np.arange(buckets + 1))
 
     def own_counts(self, k: int) -> np.ndarray:
-        if k == 2:
-            return np.bincount(self.pair_of[self.in_train], minlength=len(self.keys[2]))
-        c = np.bincount(self.w[self.in_train], minlength=len(self.keys[1]))
-        c[-1] = self.trained.sum()
+        c = np.bincount(self.gram[k][self.in_train], minlength=len(self.keys[k]))
+        if k == 1:
+            c[-1] = self.trained.sum()
         return c
 
     def counts(self, k: int, rows: list[dict], name: str) -> np.ndarray:
@@ -142,7 +150,7 @@ class Block:
         return out
 
 
-def exchange(table: DataFrame, buckets: int) -> DataFrame:
+def exchange(table: DataFrame, buckets: int, order: int) -> DataFrame:
     """Counts of each block's n-grams over all blocks.
 
     (n, bucket, block, deleted, kept, whole, types): ``whole`` over all training documents, ``kept``
@@ -153,9 +161,9 @@ def exchange(table: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, buckets)
+                b = Block(row, buckets, order)
                 out = {x: [] for x in ("n", "bucket", "block", "deleted", "keys", "counts")}
-                for k in (1, 2):
+                for k in range(1, order + 1):
                     own = b.own_counts(k)[b.order[k]]
                     low = (b.keys[k] & _LOW)[b.order[k]]
                     for at in range(buckets):
@@ -203,47 +211,64 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))).astype(int) + 1, 0)
 
 
-def _events(b: Block, rows: list[dict], name: str, total: int, types: int):
-    """For each token: the context's bucket, the two estimates, and the word's count."""
-    c1, c2 = b.counts(1, rows, name), b.counts(2, rows, name)
-    ch, cw, chw = c1[b.h], c1[b.w], c2[b.pair_of]
-    return context_bucket(ch), chw / np.maximum(ch, 1), cw / max(total, 1), cw
+def _estimates(b: Block, rows: list[dict], name: str, total: int, order: int):
+    """For each token: its contexts' buckets and the estimates, each by order, and the word's count."""
+    c = b.counts(1, rows, name)
+    cw, starts, before = c[b.w], c[-1], c
+    ctx, p = {}, {1: cw / max(total, 1)}
+    for k in range(2, order + 1):
+        c = b.counts(k, rows, name)
+        ch = before[b.context[k]]
+        ctx[k], p[k] = context_bucket(ch), c[b.gram[k]] / np.maximum(ch, 1)
+        before = np.r_[c, starts]
+    return ctx, p, cw
+
+
+def _mixed(ctx: dict, p: dict, weights: dict[int, np.ndarray], types: int, order: int) -> np.ndarray:
+    """Each token's probability by the model of an order."""
+    w = weights[2][np.minimum(ctx[2], 63)]
+    out = w[:, 0] * p[2] + w[:, 1] * p[1] + w[:, 2] / (types + 1)
+    for k in range(3, order + 1):
+        w = weights[k][np.minimum(ctx[k], 63)]
+        out = w[:, 0] * p[k] + w[:, 1] * out
+    return out
+
 
+def held_out_histogram(table: DataFrame, counts: DataFrame, buckets: int, kept: int, types: int, order: int, weights: dict[int, np.ndarray]) -> DataFrame:
+    """(bucket, q, lower, n): held-out events by their context's bucket, the binned estimate of an order and the next lower one's (null: 0).
 
-def held_out_histogram(table: DataFrame, counts: DataFrame, buckets: int, kept: int, types: int) -> DataFrame:
-    """(bucket, q2, q1, n): held-out events by their context's bucket and binned estimates (null: 0)."""
+    The lower one is the word's own for order two, else the probability by the model of the order below, whose ``weights`` are known.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[tuple, int] = {}
         rows = right.to_pylist()
         for row in left.to_pylist():
-            b = Block(row, buckets)
-            ctx, p2, p1, _ = _events(b, rows, "kept", kept, types)
-            q = [np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-30)) * BINS).astype(int), 1) for p in (p2, p1)]
-            keys, n = np.unique(np.stack([ctx, *q]), axis=1, return_counts=True)
+            b = Block(row, buckets, order)
+            ctx, p, _ = _estimates(b, rows, "kept", kept, order)
+            lower = p[1] if order == 2 else _mixed(ctx, p, weights, types, order - 1)
+            q = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-30)) * BINS).astype(int), 1) for x in (p[order], lower)]
+            keys, n = np.unique(np.stack([ctx[order], *q]), axis=1, return_counts=True)
             for k, c in zip(keys.T.tolist(), n.tolist(), strict=True):
                 found[tuple(k)] = found.get(tuple(k), 0) + c
         cols = list(zip(*[(*k, c) for k, c in found.items()], strict=True)) if found else [[], [], [], []]
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "q2": pa.array(cols[1], pa.int32()), "q1": pa.array(cols[2], pa.int32()), "n": pa.array(cols[3], pa.int64())})
-
-    held = table.where("deleted").groupBy("block").cogroup(counts.where("deleted").groupBy("block"))
-    return held.applyInArrow(run, "bucket int, q2 int, q1 int, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n"))
+        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "q": pa.array(cols[1], pa.int32()), "lower": pa.array(cols[2], pa.int32()), "n": pa.array(cols[3], pa.int64())})
 
+    needed = counts.where(F.col("deleted") & (F.col("n") <= order)).select("n", "bucket", "block", "kept")
+    held = table.where("deleted").groupBy("block").cogroup(needed.groupBy("block"))
+    return held.applyInArrow(run, "bucket int, q int, lower int, n long").groupBy("bucket", "q", "lower").agg(F.sum("n").alias("n"))
 
-def learn_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndarray, types: int, rounds: int = 200) -> np.ndarray:
-    """Expectation-maximisation; weights (l2, l1, l0) for each bucket up to 63.
 
-    A bucket without events takes the weights of the nearest lower bucket that has some
-    (bucket 0, without a bigram estimate: no weight for it).
-    """
-    p = np.stack([np.where(q2 > 0, 0.0, 2.0 ** (q2 / BINS)), np.where(q1 > 0, 0.0, 2.0 ** (q1 / BINS)), np.full(len(n), 1 / (types + 1))], 1)
-    out = np.zeros((64, 3))
-    last = np.array([0.4, 0.4, 0.2])
+def _maximise(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, first: list[float], unseen: list[float], rounds: int) -> np.ndarray:
+    """Weights of the columns of ``p`` for each bucket up to 63; bucket 0 has no estimate of the order itself, the first column."""
+    out = np.zeros((64, p.shape[1]))
+    last = np.array(first)
     for k in range(64):
         own = bucket == k
-        w = np.array([0.0, 0.7, 0.3]) if k == 0 else last.copy()
+        w = np.array(unseen) if k == 0 else last.copy()
         if own.any():
-            w = np.array([0.0, 0.5, 0.5]) if k == 0 else np.full(3, 1 / 3)
+            w = np.full(p.shape[1], 1.0) if k else (w > 0).astype(float)
+            w /= w.sum()
             pk, nk = p[own], n[own].astype(float)
             for _ in range(rounds):
                 share = w * pk
@@ -259,36 +284,59 @@ def learn_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndar
     return out
 
 
-def score(docs: DataFrame, deleted_of: int = 8, block_bytes: int = 2 << 20, keys_per_bucket: int = 600_000) -> DataFrame:
-    """Log10 probability of each text of ``docs(doc_id, text, train)``.
+def _unbinned(q: np.ndarray) -> np.ndarray:
+    return np.where(q > 0, 0.0, 2.0 ** (q / BINS))
+
+
+def learn_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndarray, types: int, rounds: int = 200) -> np.ndarray:
+    """Expectation-maximisation; weights (l2, l1, l0) for each bucket up to 63.
+
+    A bucket without events takes the weights of the nearest lower bucket that has some
+    (bucket 0, without a bigram estimate: no weight for it).
+    """
+    p = np.stack([_unbinned(q2), _unbinned(q1), np.full(len(n), 1 / (types + 1))], 1)
+    return _maximise(bucket, p, n, [0.4, 0.4, 0.2], [0.0, 0.7, 0.3], rounds)
+
+
+def learn_shares(bucket: np.ndarray, q: np.ndarray, lower: np.ndarray, n: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights (m, 1 - m) of an order above two and of the model below it, by the same maximisation."""
+    return _maximise(bucket, np.stack([_unbinned(q), _unbinned(lower)], 1), n, [0.4, 0.6], [0.0, 1.0], rounds)
+
+
+def score(docs: DataFrame, order: int = 3, deleted_of: int = 8, block_bytes: int = 2 << 20, keys_per_bucket: int = 600_000) -> DataFrame:
+    """Log10 probability of each text of ``docs(doc_id, text, train)`` by n-grams up to an ``order`` of two or more.
 
     (doc_id, n_tokens, n_known, train_tokens, base_score, score). Documents with ``train``
     teach the model; one in ``deleted_of`` of them, by a hash of id and text, is held out for the
     weights. A null text is empty: its end token alone is scored. Rows with equal or null
     ids are documents of their own. Without training documents all scores are 0.
     """
+    if order < 2:
+        raise ValueError("the order is two at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
     docs = docs.withColumn("deleted", F.col("train") & (F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(deleted_of)) == 0))
     table = written(blocks(docs, block_bytes), "blocks")
     size = table.groupBy().agg(F.sum("n_train").alias("n"), F.sum(F.when(~F.col("deleted"), F.col("n_train"))).alias("kept"), F.count(F.lit(1)).alias("blocks")).first()
     total, kept = int(size["n"] or 0), int(size["kept"] or 0)
     buckets = int(min(1 << 16, max(64, total // keys_per_bucket)))
-    counts = written(exchange(table, buckets), "counts")
+    counts = written(exchange(table, buckets, order), "counts")
     types = int(counts.where("block is null and n = 1").agg(F.sum("types")).first()[0] or 0)
     counts = counts.where("block is not null")
-    hist = held_out_histogram(table, counts, buckets, kept, types).toArrow()  # bounded: buckets times bins squared
-    weights = learn_weights(*(hist.column(c).to_numpy() for c in ("bucket", "q2", "q1", "n")), types)
+    weights: dict[int, np.ndarray] = {}
+    for k in range(2, order + 1):
+        hist = held_out_histogram(table, counts, buckets, kept, types, k, weights).toArrow()  # bounded: buckets times bins squared
+        bucket, q, lower, n = (hist.column(c).to_numpy() for c in ("bucket", "q", "lower", "n"))
+        weights[k] = learn_weights(bucket, q, lower, n, types) if k == 2 else learn_shares(bucket, q, lower, n)
     if not total:
-        weights[:] = [0.0, 0.0, 1.0]
+        weights[2][:] = [0.0, 0.0, 1.0]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cols = {x: [] for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")}
         rows = right.to_pylist()
         for row in left.to_pylist():
-            b = Block(row, buckets)
-            ctx, p2, p1, cw = _events(b, rows, "whole", total, types)
-            w = weights[np.minimum(ctx, 63)]
-            logp = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (types + 1))
+            b = Block(row, buckets, order)
+            ctx, p, cw = _estimates(b, rows, "whole", total, order)
+            logp = np.log10(_mixed(ctx, p, weights, types, order))
             base = np.log10((cw + 1) / (total + types + 1))
             cols["doc_id"] += b.doc_ids
             cols["n_tokens"].append(b.sizes)
@@ -297,5 +345,5 @@ def score(docs: DataFrame, deleted_of: int = 8, block_bytes: int = 2 << 20, keys
         arrays = [pa.array(cols.pop("doc_id"), pa.int64())] + [pa.array(np.concatenate(x)) for x in cols.values()]
         return pa.Table.from_arrays(arrays, names=["doc_id", *cols])
 
-    out = table.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = table.groupBy("block").cogroup(counts.select("n", "bucket", "block", "whole").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -44,7 +44,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out(7, 2)).alias("train"))
-    return interpolation.score(docs).withColumn("held_out", held_out(7, 2))
+    return interpolation.score(docs, 3).withColumn("held_out", held_out(7, 2))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

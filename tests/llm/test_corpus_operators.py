@@ -237,6 +237,35 @@ def test_weights_by_expectation_maximisation():
     assert w[3, 0] > 0.9 and abs(w.sum(1) - 1).max() < 1e-9 and w[0, 0] == 0
 
 
+def test_model_of_order_three(spark, monkeypatch):
+    """With fixed weights every score is the one by counts of words, pairs and triples; the triple decides where the pair can't."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["a x c", "b x d", "a", "x d"]) for _ in range(r.randint(0, 5))), True) for i in range(300)]
+    asked = [(1000, "a x c", False), (1001, "a x d", False), (1002, "zz a x c", False)]
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string, train boolean")
+    got = {x["doc_id"]: x["score"] for x in interpolation.score(df, block_bytes=2000).collect()}
+    assert got[1000] > got[1001] + 0.2
+    monkeypatch.setattr(interpolation, "learn_weights", lambda *a: np.array([[0, 0.6, 0.4]] + [[0.5, 0.3, 0.2]] * 63))
+    monkeypatch.setattr(interpolation, "learn_shares", lambda *a: np.array([[0, 1]] + [[0.7, 0.3]] * 63))
+    got = {x["doc_id"]: x["score"] for x in interpolation.score(df, block_bytes=2000).collect()}
+    toks = {i: ["<s>", "<s>", *t.split(), None] for i, t, _ in rows + asked}
+    uni, bi, tri, one, two = (Counter() for _ in range(5))
+    for i, _, train in rows + asked:
+        for u, v, w in zip(toks[i], toks[i][1:], toks[i][2:], strict=False) if train else ():
+            uni[w] += 1
+            bi[v, w] += 1
+            tri[u, v, w] += 1
+            one[v] += 1
+            two[u, v] += 1
+    n, types = sum(uni.values()), len(uni)
+    for i, t in toks.items():
+        want = 0.0
+        for u, v, w in zip(t, t[1:], t[2:], strict=False):
+            p = 0.5 * bi[v, w] / one[v] + 0.3 * uni[w] / n + 0.2 / (types + 1) if one[v] else 0.6 * uni[w] / n + 0.4 / (types + 1)
+            want += math.log10(0.7 * tri[u, v, w] / two[u, v] + 0.3 * p if two[u, v] else p)
+        assert abs(got[i] - want) < 1e-9
+
+
 def test_scoring_of_odd_rows(spark):
     df = docs(spark).withColumn("train", F.col("doc_id") < 6)
     assert interpolation.score(df).count() == len(ROWS)
