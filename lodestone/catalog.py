@@ -266,9 +266,19 @@ def literal_unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages within three steps of the first page, a step being the same first link."""
     pages = table(spark, sf_dir, "pages")
-    first = text_units.html_links(pages).where("at = 0").select("page_id", "href")
+    return _pages_by_links(pages, text_units.html_links(pages).where("at = 0"))
+
+
+@query(None)
+def link_bfs_depth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages within three steps of the first page, a step being any link that both pages hold."""
+    pages = table(spark, sf_dir, "pages")
+    return _pages_by_links(pages, text_units.html_links(pages))
+
+
+def _pages_by_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     # a page steps to a link and from there to its pages, so a link's pages are never paired
-    to_link = first.select(F.concat(F.lit("p"), "page_id").alias("u"), F.concat(F.lit("l"), "href").alias("v"))
+    to_link = links.select(F.concat(F.lit("p"), "page_id").alias("u"), F.concat(F.lit("l"), "href").alias("v"))
     edges = to_link.union(to_link.select(F.col("v"), F.col("u")))
     start = pages.agg(F.min("page_id").alias("p")).select(F.concat(F.lit("p"), "p").alias("node"))
     return fusion.reach(edges, start, 6).where("node like 'p%'").select(F.expr("cast(substring(node, 2) as bigint)").alias("node"), (F.col("depth") / 2).cast("int").alias("depth"))

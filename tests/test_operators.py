@@ -56,3 +56,28 @@ def test_fact_conflicts(spark):
     lines = spark.createDataFrame([("a", "max_size = 3"), ("b", "max_size: 4"), ("c", "max_size = 3"), ("d", "max_size = 1"), ("d", "max_size = 2"), ("a", "not a fact")], "source string, content string")
     got = {(r["left"], r["right"]) for r in fusion.contradictions(fusion.prose_facts(lines, "source")).collect()}
     assert got == {("a", "b"), ("b", "c")}
+
+
+def test_depths_over_all_links(spark):
+    """Against brute force over every link of the pages, not only the first."""
+    import re
+    from collections import defaultdict
+
+    import pyarrow.parquet as pq
+
+    from lodestone import catalog
+
+    sf = "/root/testdata/sf0.01"
+    pages, holders = {}, defaultdict(set)
+    for p in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        pages[p["page_id"]] = re.findall(r'(?i)<a [^>]*href="([^"]*)"', p["html"] or "")
+        for href in pages[p["page_id"]]:
+            holders[href].add(p["page_id"])
+    want = {min(pages): 0}
+    front = set(want)
+    for depth in (1, 2, 3):
+        front = {q for p in front for href in pages[p] for q in holders[href]} - set(want)
+        want |= dict.fromkeys(front, depth)
+    got = catalog.queries()["link_bfs_depth_all"](spark, sf).collect()
+    assert {r["node"]: r["depth"] for r in got} == want and len(got) == len(want)
+    assert len(want) > catalog.queries()["link_bfs_depth"](spark, sf).count()
