@@ -12,6 +12,10 @@ GENERIC_FIELD_WORDS = COMMON_WORDS + "time date timestamp created updated".split
 ACTION_PREFIXES = "get set make build create compute calculate measure load save write".split()
 MEASUREMENT_SUFFIXES = "ms sec secs mbps gbps hz kb mb gb".split()
 ALIASES = {"tput": "throughput"}
+NAMESPACE_WRAPPERS = """
+column columns config configuration data document item items properties property
+record records root row rows setting settings value values
+""".split()
 FACT_KEY_STOPS = "pointer key document".split()
 MAX_IDENTIFIER_CHARS, MAX_UNIT_TOKENS, MAX_CONTAINER_FIELDS = 128, 4096, 256
 MAX_DISTINCT, MAX_SHOWN_VALUES, MAX_SHOWN_CHARS = 256, 8, 160

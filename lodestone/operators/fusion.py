@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions import values as V
 from lodestone.session import written
 
 
@@ -48,7 +49,7 @@ def identifiers(schema: DataFrame, conceptual: bool = True) -> DataFrame:
 
 
 def identifier_correspondence(schema: DataFrame) -> DataFrame:
-    """Identifiers that several sources share (J5): (canonical, source, column, anchor_source, anchor_column, confidence).
+    """Columns whose identifiers several tables share, J5 without content: (canonical, source, column, anchor_source, anchor_column, confidence).
 
     Each source gives its best occurrence; every other hangs on the least one. An identifier of
     one source alone, or of more than max(4, three quarters) of the sources, is rejected.
@@ -58,12 +59,60 @@ def identifier_correspondence(schema: DataFrame) -> DataFrame:
     best = named.withColumn("r", F.row_number().over(Window.partitionBy("canonical", "source").orderBy("column"))).where("r = 1").drop("r")
     spread = best.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source", "column")).alias("anchor"))
     # one row of one number is joined
-    kept = spread.join(F.broadcast(n_sources)).where("n >= 2 and n <= greatest(4, floor(0.75 * n_sources))")
+    kept = spread.join(F.broadcast(n_sources)).where("n >= 2 and n <= greatest(4, ceil(0.75 * n_sources))")
     joined = best.join(kept, "canonical").where("source <> anchor.source")
     plain = F.array_join(X.identifier_tokens(F.col("column")), " ") == F.col("canonical")
     return joined.select("canonical", "source", "column", F.col("anchor.source").alias("anchor_source"), F.col("anchor.column").alias("anchor_column"), F.when(plain, 0.95).otherwise(0.9).alias("confidence"))
 
 
+def namespace(path: Column) -> Column:
+    """The first telling segment before a schema path's last one, as canonical tokens; null without one."""
+    parts = F.transform(F.split(F.regexp_replace(path, "[/.]+$", ""), r"[/.\[\]]+"), lambda x: F.regexp_replace(x, "^[$@'\"]+|[$@'\"]+$", ""))
+    parts = F.filter(parts, lambda x: ~x.isin("", "*") & ~x.rlike("^[0-9]+$"))
+    wrappers = F.array(*[F.lit(x) for x in V.NAMESPACE_WRAPPERS])
+    named = X.let(parts, lambda own: F.transform(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), lambda x: X.identifier_tokens(x, True)))
+    return F.array_join(F.try_element_at(F.filter(named, lambda t: ~F.forall(t, lambda x: F.array_contains(wrappers, x))), F.lit(1)), " ")
+
+
+def identifier_matches(units: DataFrame, n_sources: DataFrame) -> DataFrame:
+    """Identifiers that several sources name or mention (J5 to J7): (canonical, left, right, confidence).
+
+    Native names of ``units(source, ref, unit_id, modality, content, salience, meta)`` are code symbols, names, last
+    segments of schema paths and documented labels. Their canonical tokens are looked for in the content of all
+    units, as runs of tokens. Each source gives its best occurrence; every other hangs on the best of all. An
+    identifier with names in different namespaces, of one source alone, or of more than max(4, three
+    quarters, rounded up) of the sources is rejected. ``n_sources`` is a row of one number.
+    """
+    meta = lambda key: F.get_json_object("meta", f"$.{key}")
+    said = lambda key: F.coalesce(~meta(key).isin("", "false", "0", "[]", "{}"), F.lit(False))
+    u = units.withColumn("rank", F.struct((~(said("heading") | said("caption"))).alias("plain"), (-F.col("salience")).alias("weight"), "source", "ref", "unit_id"))
+    raw = F.array(meta("symbol"), meta("name"), X.last_segment(meta("schema_path")), F.when(meta("documented") == "true", meta("label")))
+    named = u.select("source", "rank", namespace(meta("schema_path")).alias("namespace"), F.posexplode(raw).alias("at", "raw")).where("raw <> ''")
+    named = named.withColumn("tokens", X.identifier_tokens(F.col("raw"), True)).where(X.eligible_identifier(F.col("tokens")))
+    canonical = F.array_join("tokens", " ")
+    changed = (F.octet_length("raw") > F.length("raw")) | (F.array_join(X.identifier_tokens(F.col("raw")), " ") != canonical)
+    named = written(named.select(canonical.alias("canonical"), F.size("tokens").alias("length"), "source", "namespace", F.struct(F.lit(0).alias("content"), "rank", "at", changed.alias("changed")).alias("found")), "named")
+    concepts = named.groupBy("canonical", "length").agg(F.count_distinct("namespace").alias("n")).where("n <= 1").select("canonical", "length")
+    lengths = sorted(r["length"] for r in concepts.select("length").distinct().collect())  # of names of at most 128 characters
+    tokens = u.where("modality not in ('source', 'reference')").select("source", "rank", X.text_tokens(F.col("content")).alias("tokens"))
+
+    def runs(n: int) -> Column:
+        return F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.array_join(F.slice("tokens", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    grams = tokens.select("source", "rank", F.explode(F.array_distinct(F.flatten(F.array(F.array().cast("array<string>"), *[runs(n) for n in lengths])))).alias("canonical"))
+    content = F.struct(F.lit(1).alias("content"), "rank", F.lit(0).alias("at"), F.lit(True).alias("changed")).alias("found")
+    mentioned = grams.join(concepts, "canonical").select("canonical", "source", content)
+    best = named.join(concepts, ["canonical", "length"], "left_semi").select("canonical", "source", "found").unionByName(mentioned).groupBy("canonical", "source").agg(F.min("found").alias("found"))
+    best = written(best, "best")
+    spread = best.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min("found").alias("anchor"))
+    kept = spread.join(F.broadcast(n_sources.toDF("n_sources"))).where("n >= 2 and n <= greatest(4, ceil(0.75 * n_sources))")
+    joined = best.join(kept, "canonical").where("source <> anchor.rank.source")
+    native = (F.col("found.content") == 0) & (F.col("anchor.content") == 0)
+    confidence = F.when(~native, 0.82).when(F.col("found.changed") | F.col("anchor.changed"), 0.9).otherwise(0.95)
+    other = F.col("anchor.rank.source")
+    return joined.select("canonical", F.least("source", other).alias("left"), F.greatest("source", other).alias("right"), confidence.alias("confidence"))
+
+
 def structural_pairs(schema: DataFrame, least_shared: int = 3, least_jaccard: float = 0.75) -> DataFrame:
     """Pairs of tables that share fields (J8): a row for each pair with a field in common.
 

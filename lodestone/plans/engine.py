@@ -54,7 +54,8 @@ def fuse(evidence: Evidence) -> DataFrame:
     refs = u.where("modality = 'reference'").select("source", "ref", F.try_element_at(F.split(meta("target"), "/"), F.lit(-1)).alias("target"), F.coalesce(meta("ref_kind"), F.lit("path")).alias("kind")).where("target is not null")
     literal = fusion.resolve(refs, ids).where("status = 'resolved'").select(F.lit("literal").alias("signal"), F.col("source").alias("left"), F.col("target_source").alias("right"), F.lit(0.95).alias("confidence")).distinct()
     named = u.where("modality = 'schema'").select("source", F.coalesce(meta("name"), X.last_segment(meta("schema_path"))).alias("column"), F.lit("string").alias("type")).where("column is not null").distinct()
-    shared = fusion.identifier_correspondence(named).select(F.lit("identifier").alias("signal"), F.col("anchor_source").alias("left"), F.col("source").alias("right"), "confidence")
+    n_sources = evidence.sources.where("status = 'extracted'").select(F.count_distinct("source"))
+    shared = fusion.identifier_matches(u, n_sources).select(F.lit("identifier").alias("signal"), "left", "right", "confidence")
     alike = fusion.structural_pairs(named).where("status = 'accepted'").select(F.lit("structural").alias("signal"), "left", "right", "confidence")
     return literal.unionByName(shared).unionByName(alike)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import fusion
 from lodestone.plans import engine
 from lodestone.sources import files, formats
 from lodestone.streaming import watch
@@ -142,6 +143,20 @@ def test_engine(spark, folder):
     assert "notes.md" in engine.render_markdown(e.units) and engine.render_jsonl(e).count() == e.units.count()
 
 
+def test_identifiers_in_code_and_prose(spark):
+    rows = [
+        ("a.csv", "csv", b"capacity_mah,name\n1,2\n"), ("b.md", "markdown", b"# Notes\n\nThe capacity mah of a cell.\n"), ("c.py", "python", b"def getCapacityMah():\n    return 1\n"),
+        ("d.json", "json", b'{"rocket": {"thrust_level": 1}}'), ("e.json", "json", b'{"boat": {"thrust_level": 1}}'), ("f.md", "markdown", b"Here mah capacity and thrust level.\n"),
+    ]
+    got = {(r["left"], r["right"], r["confidence"]) for r in engine.fuse(engine.from_records(spark, rows)).where("signal = 'identifier'").collect()}
+    assert got == {("a.csv", "b.md", 0.82), ("a.csv", "c.py", 0.9)}
+
+
+def test_identifier_spread_is_rounded_up(spark):
+    tables = lambda n: spark.createDataFrame([(f"t{i:02}", "capacity_mah" if i < n else f"other_{i}") for i in range(14)], "source string, column string")
+    assert fusion.identifier_correspondence(tables(11)).count() == 10 and fusion.identifier_correspondence(tables(12)).count() == 0
+
+
 def test_watch(spark, folder, tmp_path):
     store = str(tmp_path / "store")
     counts = lambda: {k: v for k, v in watch.run_once(spark, str(folder), store).items() if v}
