@@ -7,6 +7,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,19 @@ def test_engine(spark, folder):
     assert "notes.md" in engine.render_markdown(e.units) and engine.render_jsonl(e).count() == e.units.count()
 
 
+def test_only_catalogs_are_limited(spark):
+    n = 5000
+    sheet = io.BytesIO()
+    pq.write_table(pa.table({f"c{i}": [1] for i in range(2100)}), sheet)
+    rows = [("a.md", "markdown", b"\n\n".join(b"block %d" % i for i in range(n))), ("b.parquet", "parquet", sheet.getvalue())]
+    e = engine.from_records(spark, rows)
+    text = e.units.where("source = 'a.md'").orderBy("seq").collect()
+    assert [r["content"] for r in text] == [f"block {i}" for i in range(n)] and [r["seq"] for r in text] == list(range(n))
+    gaps = [(r["source"], r["content"]) for r in e.gaps.collect()]
+    assert len(gaps) == 1 and gaps[0][0] == "b.parquet" and gaps[0][1].endswith("more unit(s)")
+    assert e.units.where("source = 'b.parquet'").count() == 2048
+
+
 def test_identifiers_in_code_and_prose(spark):
     rows = [
         ("a.csv", "csv", b"capacity_mah,name\n1,2\n"), ("b.md", "markdown", b"# Notes\n\nThe capacity mah of a cell.\n"), ("c.py", "python", b"def getCapacityMah():\n    return 1\n"),
