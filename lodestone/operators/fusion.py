@@ -179,13 +179,17 @@ def reach(edges: DataFrame, start: DataFrame, most_depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cycles(edges: DataFrame, most_length: int = 8) -> DataFrame:
-    """Simple cycles of ``edges(u, v)`` up to a length, each once from its least node."""
-    paths = edges.where("u <= v").select(F.col("u").alias("root"), F.col("v").alias("last"), F.array("u", "v").alias("path"))
-    closed = paths.where("root = last").select(F.array("root").alias("cycle"))
-    paths = paths.where("root < last")
-    for _ in range(most_length - 1):
-        grown = paths.join(edges, paths["last"] == edges["u"]).select("root", F.col("v").alias("last"), "path")
-        closed = closed.union(grown.where("last = root").select(F.col("path").alias("cycle")))
+def cycles(edges: DataFrame) -> DataFrame:
+    """Simple cycles of ``edges(u, v)`` of any length, each once from its least node.
+
+    A loop of joins until no path is left to extend; each step is a written table, so plans don't grow with the length.
+    """
+    edges = written(edges.distinct(), "edges")
+    grown = edges.where("u <= v").select(F.col("u").alias("root"), F.col("v").alias("last"), F.array("u").alias("path"))
+    closed = []
+    while True:
+        closed.append(grown.where("last = root").select(F.col("path").alias("cycle")))
         paths = grown.where("last > root and not array_contains(path, last)").select("root", "last", F.concat("path", F.array("last")).alias("path"))
-    return closed.select("cycle", F.size("cycle").alias("length"))
+        if paths.isEmpty():
+            return reduce(DataFrame.unionByName, closed).select("cycle", F.size("cycle").alias("length"))
+        grown = written(paths.join(edges, paths["last"] == edges["u"]).select("root", F.col("v").alias("last"), "path"), "paths")

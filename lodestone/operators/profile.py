@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import values as V
+from lodestone.session import written
 
 
 def _kind(dtype: T.DataType) -> str:
@@ -83,27 +84,30 @@ def type_summary(types: Column) -> Column:
     return F.array_join(F.filter(F.array(*[F.lit(t) for t in V.TYPE_ORDER]), lambda t: F.array_contains(merged, t)), "|")
 
 
-def json_paths(records: DataFrame, json: str, depth: int = 8) -> DataFrame:
-    """Leaves and containers of JSON records: (record, path, type, value), to a depth.
+def json_paths(records: DataFrame, json: str, levels: int = 8) -> DataFrame:
+    """Leaves and containers of JSON records: (record, path, type, value), to the last level.
 
     ``*`` stands for any place in an array. A text that is no JSON, or repeats a key, is the single
-    path ``$`` of type ``invalid``.
+    path ``$`` of type ``invalid``. What lies below so many ``levels`` is written, and the walk goes on from there.
     """
     level = records.select("record", F.lit("$").alias("path"), F.try_parse_json(json).alias("v"), F.col(json).isNotNull().alias("given"))
     bad = level.where("v is null and given").select("record", "path", F.lit("invalid").alias("type"), F.lit(None).cast("string").alias("value"))
     level = level.where("v is not null").select("record", "path", "v")
     found = []
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        typed = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "BOOLEAN", "boolean").when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "number").when(kind == "VOID", "null").otherwise("string")
-        scalar = F.when(typed.isin("object", "array", "null"), F.lit(None)).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
-        found.append(level.select("record", "path", typed.alias("type"), scalar.alias("value")))
-        level = level.sparkSession.sql(
-            "select record, path || case when key is null then '/*' else '/' || replace(replace(key, '~', '~0'), '/', '~1') end as path, value as v "
-            "from {nested}, lateral variant_explode(v)",
-            nested=level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")),
-        )
-    return reduce(DataFrame.unionByName, [bad, *found])
+    while True:
+        for _ in range(levels):
+            kind = F.schema_of_variant("v")
+            typed = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "BOOLEAN", "boolean").when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "number").when(kind == "VOID", "null").otherwise("string")
+            scalar = F.when(typed.isin("object", "array", "null"), F.lit(None)).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
+            found.append(level.select("record", "path", typed.alias("type"), scalar.alias("value")))
+            level = level.sparkSession.sql(
+                "select record, path || case when key is null then '/*' else '/' || replace(replace(key, '~', '~0'), '/', '~1') end as path, value as v "
+                "from {nested}, lateral variant_explode(v)",
+                nested=level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")),
+            )
+        level = written(level, "level")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, [bad, *found])
 
 
 def path_profile(paths: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import fusion, selection, text_units
+from lodestone.operators import fusion, profile, selection, text_units
 
 
 def one(spark, column):
@@ -46,6 +46,14 @@ def test_cycles(spark):
     assert sorted(r["cycle"] for r in fusion.cycles(e).collect()) == [[1, 2, 3], [3]]
 
 
+def test_long_cycles_and_deep_json(spark):
+    e = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)] + [(3, 0), (5, 5)], "u int, v int")
+    assert sorted(r["cycle"] for r in fusion.cycles(e).collect()) == [[0, 1, 2, 3], list(range(12)), [5]]
+    deep = spark.createDataFrame([(1, '{"a":' * 20 + "7" + "}" * 20), (2, "3")], "record int, j string")
+    got = {(r["record"], r["path"], r["type"], r["value"]) for r in profile.json_paths(deep, "j").collect()}
+    assert got == {(1, "$" + "/a" * k, "object", None) for k in range(20)} | {(1, "$" + "/a" * 20, "integer", "7"), (2, "$", "integer", "3")}
+
+
 def test_admission_skips_and_goes_on(spark):
     files = spark.createDataFrame([("c", i, n) for i, n in enumerate([50, 30, 200, 40, 10])], "c string, i int, n long")
     got = {r["i"]: r["status"] for r in selection.admit(files, "c", [F.col("i")], "n", 4, 100, 100).collect()}
