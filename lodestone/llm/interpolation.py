@@ -14,8 +14,12 @@ How it scales. Documents become blocks of codes, written once. Each block sends
 *distinct* n-grams to buckets by a hash, packed as sorted differences; a bucket adds up
 the counts and sends them back to each block in the same order. So a frequent word or
 pair costs a block one entry, no bucket is hot, no table of counts is broadcast or
-collected, and scores are made where the tokens are. The driver sees the number
-of tokens and types, and for each order a histogram of held-out events of bounded size.
+collected, and scores are made where the tokens are. Hashes are as wide as the corpus asks:
+with n training tokens, a word has log2(n) + 30 bits and a longer gram log2(n) + 20, so at every size
+the same share of grams (one in a million at most) is expected to share its hash with another. The driver sees the number
+of tokens and types, and for each order a histogram of held-out events of bounded size: events are
+put together where both their probabilities fall into one of ``BINS`` classes to a doubling, and
+a class stands in the maximisation with the exact means of its events' probabilities.
 """
 
 from __future__ import annotations
@@ -26,37 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textbytes import NOT_SPACE, U, chunks, column_bytes, mix, prefix, span_hash, words
+from lodestone.llm.textbytes import NOT_SPACE, U, chunks, column_bytes, mix, pack, prefix, span_hash, unpack, words
 from lodestone.session import written
 
 START, END = U(0x8B1A9953C4611296), U(0x5D41402ABC4B2A76)
-_LOW = U((1 << 48) - 1)
-#: Held-out events are binned by the base-2 logarithm of their probabilities, this many bins to a doubling.
-BINS = 8
+#: Held-out events are put together by the base-2 logarithms of their probabilities, this many classes to a doubling.
+BINS = 16
 BLOCK = "block string, deleted boolean, n_train long, doc_ids array<long>, sizes binary, trained binary, vocabulary binary, codes binary"
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Small numbers as byte planes, compressed."""
-    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = 8
-    while used > 1 and not raw[used - 1].any():
-        used -= 1
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(raw[:used].tobytes())
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    used = b[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(used, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :used] = planes.T
-    return out.view("<u8")[:, 0]
-
-
 def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """``docs(doc_id, text, train, deleted)`` as blocks of codes into their own vocabularies.
 
@@ -78,7 +63,7 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
             {
                 "block": [uuid.uuid4().hex], "deleted": [deleted], "n_train": pa.array([int(sizes[train].sum())], pa.int64()),
                 "doc_ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                "sizes": [_pack(sizes)], "trained": [_pack(train)], "vocabulary": pa.array([keys.tobytes()], pa.binary()), "codes": [_pack(codes)],
+                "sizes": [pack(sizes)], "trained": [pack(train)], "vocabulary": [pack(np.diff(keys, prepend=U(0)))], "codes": [pack(codes)],
             }
         )
 
@@ -103,6 +88,17 @@ def blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     return docs.select("doc_id", "text", "train", "deleted").mapInArrow(run, BLOCK)
 
 
+def key_bits(total: int, k: int) -> int:
+    """Bits of a hash of k words, for a corpus of so many training tokens."""
+    return min(64, max(total, 1).bit_length() + (30 if k == 1 else 20))
+
+
+def bucket_of(key: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Buckets are equal ranges of hashes, so sorted hashes lie in sorted buckets."""
+    top = key >> U(bits - 32) if bits > 32 else key << U(32 - bits)
+    return ((top * U(buckets)) >> U(32)).astype(np.int64)
+
+
 class Block:
     """A block's tokens with its distinct n-grams of each order.
 
@@ -110,12 +106,12 @@ class Block:
     the code after the last stands for a context of start marks alone.
     """
 
-    def __init__(self, row: dict, buckets: int, order: int):
+    def __init__(self, row: dict, buckets: int, order: int, total: int):
         self.doc_ids, self.deleted = row["doc_ids"], row["deleted"]
-        self.sizes = _unpack(row["sizes"]).astype(np.int64)
-        self.trained = _unpack(row["trained"]).astype(bool)
-        self.vocabulary = np.frombuffer(row["vocabulary"], U)
-        self.w = _unpack(row["codes"]).astype(np.int64)
+        self.sizes = unpack(row["sizes"]).astype(np.int64)
+        self.trained = unpack(row["trained"]).astype(bool)
+        self.vocabulary = np.cumsum(unpack(row["vocabulary"]))
+        self.w = unpack(row["codes"]).astype(np.int64)
         n = len(self.vocabulary)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.in_train = np.repeat(self.trained, self.sizes)
@@ -130,10 +126,10 @@ class Block:
             self.context[k], starts = h, len(pair)
             before = np.r_[self.keys[k], START]
         self.order, self.bucket = {}, {}
-        for k, key in self.keys.items():
-            at = ((key >> U(48)) % U(buckets)).astype(np.int64)
-            self.order[k] = np.lexsort((key & _LOW, at))
-            self.bucket[k] = np.searchsorted(at[self.order[k]], np.arange(buckets + 1))
+        for k in self.keys:
+            self.keys[k] = self.keys[k] >> U(64 - key_bits(total, k))
+            self.order[k] = np.argsort(self.keys[k], kind="stable")
+            self.bucket[k] = bucket_of(self.keys[k][self.order[k]], buckets, key_bits(total, k))
 
     def own_counts(self, k: int) -> np.ndarray:
         c = np.bincount(self.gram[k][self.in_train], minlength=len(self.keys[k]))
@@ -145,12 +141,12 @@ class Block:
         out = np.zeros(len(self.keys[k]), np.int64)
         for r in rows:
             if r["n"] == k:
-                lo, hi = self.bucket[k][r["bucket"]], self.bucket[k][r["bucket"] + 1]
-                out[self.order[k][lo:hi]] = _unpack(r[name])
+                lo, hi = np.searchsorted(self.bucket[k], [r["bucket"], r["bucket"] + 1])
+                out[self.order[k][lo:hi]] = unpack(r[name])
         return out
 
 
-def exchange(table: DataFrame, buckets: int, order: int) -> DataFrame:
+def exchange(table: DataFrame, buckets: int, order: int, total: int) -> DataFrame:
     """Counts of each block's n-grams over all blocks.
 
     (n, bucket, block, deleted, kept, whole, types): ``whole`` over all training documents, ``kept``
@@ -161,20 +157,20 @@ def exchange(table: DataFrame, buckets: int, order: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, buckets, order)
+                b = Block(row, buckets, order, total)
                 out = {x: [] for x in ("n", "bucket", "block", "deleted", "keys", "counts")}
                 for k in range(1, order + 1):
                     own = b.own_counts(k)[b.order[k]]
-                    low = (b.keys[k] & _LOW)[b.order[k]]
-                    for at in range(buckets):
-                        lo, hi = b.bucket[k][at], b.bucket[k][at + 1]
-                        if lo < hi:
-                            for col, v in zip(out.values(), (k, at, row["block"], b.deleted, _pack(np.diff(low[lo:hi], prepend=U(0))), _pack(own[lo:hi])), strict=True):
-                                col.append(v)
+                    keys, bucket = b.keys[k][b.order[k]], b.bucket[k]
+                    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(0, int)
+                    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                        # the first key is whole, the others are differences
+                        for col, v in zip(out.values(), (k, int(bucket[lo]), row["block"], b.deleted, int(keys[lo]).to_bytes(8, "little") + pack(np.diff(keys[lo:hi])), pack(own[lo:hi])), strict=True):
+                            col.append(v)
                 yield pa.RecordBatch.from_pydict({"n": pa.array(out["n"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.string()), "deleted": pa.array(out["deleted"], pa.bool_()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpack(x.as_py())) for x in t.column("keys")]
+        keys = [np.cumsum(np.r_[np.frombuffer(x[:8], U), unpack(x[8:])]) for x in t.column("keys").to_pylist()]
         sizes = [len(k) for k in keys]
         deleted = t.column("deleted").to_pylist()
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -182,19 +178,21 @@ def exchange(table: DataFrame, buckets: int, order: int) -> DataFrame:
         whole, gone = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         parts = np.split(at, np.cumsum(sizes)[:-1])
         for x, part, d in zip(t.column("counts"), parts, deleted, strict=True):
-            own = _unpack(x.as_py()).astype(np.int64)
+            own = unpack(x.as_py()).astype(np.int64)
             np.add.at(whole, part, own)  # two of a block's keys may share a value
             if d:
                 np.add.at(gone, part, own)
         n = t.column("n")[0].as_py()
-        types = int((whole > 0).sum()) - (n == 1 and bool((whole[distinct == (mix(np.array([START]))[0] & _LOW)] > 0).any()) and _start_bucket(buckets) == t.column("bucket")[0].as_py())
+        types = int((whole > 0).sum())
+        if n == 1:  # the mark of a start is no type
+            types -= int((whole[distinct == mix(np.array([START]))[0] >> U(64 - key_bits(total, 1))] > 0).sum())
         kept = whole - gone
         return pa.table(
             {
                 "n": pa.array([n] * (len(parts) + 1), pa.int32()), "bucket": pa.array([t.column("bucket")[0].as_py()] * (len(parts) + 1), pa.int32()),
                 "block": pa.array([*t.column("block").to_pylist(), None], pa.string()), "deleted": pa.array([*deleted, None], pa.bool_()),
-                "kept": pa.array([*[_pack(kept[p]) if d else None for p, d in zip(parts, deleted, strict=True)], None], pa.binary()),
-                "whole": pa.array([*[_pack(whole[p]) for p in parts], None], pa.binary()), "types": pa.array([*[None] * len(parts), types], pa.int64()),
+                "kept": pa.array([*[pack(kept[p]) if d else None for p, d in zip(parts, deleted, strict=True)], None], pa.binary()),
+                "whole": pa.array([*[pack(whole[p]) for p in parts], None], pa.binary()), "types": pa.array([*[None] * len(parts), types], pa.int64()),
             }
         )
 
@@ -202,10 +200,6 @@ def exchange(table: DataFrame, buckets: int, order: int) -> DataFrame:
     return sent.groupBy("n", "bucket").applyInArrow(add, "n int, bucket int, block string, deleted boolean, kept binary, whole binary, types long")
 
 
-def _start_bucket(buckets: int) -> int:
-    return int((mix(np.array([START]))[0] >> U(48)) % U(buckets))
-
-
 def context_bucket(c: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else one more than the base-2 logarithm of its count."""
     return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))).astype(int) + 1, 0)
@@ -234,29 +228,31 @@ def _mixed(ctx: dict, p: dict, weights: dict[int, np.ndarray], types: int, order
     return out
 
 
-def held_out_histogram(table: DataFrame, counts: DataFrame, buckets: int, kept: int, types: int, order: int, weights: dict[int, np.ndarray]) -> DataFrame:
-    """(bucket, q, lower, n): held-out events by their context's bucket, the binned estimate of an order and the next lower one's (null: 0).
+def held_out_histogram(table: DataFrame, counts: DataFrame, buckets: int, total: int, kept: int, types: int, order: int, weights: dict[int, np.ndarray]) -> DataFrame:
+    """(bucket, p, lower, n): held-out events by their context's bucket, the estimate of an order and the next lower one's.
 
     The lower one is the word's own for order two, else the probability by the model of the order below, whose ``weights`` are known.
+    Events whose two probabilities fall into the same classes are one row, with their means.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: dict[tuple, int] = {}
-        rows = right.to_pylist()
+        rows, parts = right.to_pylist(), []
         for row in left.to_pylist():
-            b = Block(row, buckets, order)
+            b = Block(row, buckets, order, total)
             ctx, p, _ = _estimates(b, rows, "kept", kept, order)
-            lower = p[1] if order == 2 else _mixed(ctx, p, weights, types, order - 1)
-            q = [np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-30)) * BINS).astype(int), 1) for x in (p[order], lower)]
-            keys, n = np.unique(np.stack([ctx[order], *q]), axis=1, return_counts=True)
-            for k, c in zip(keys.T.tolist(), n.tolist(), strict=True):
-                found[tuple(k)] = found.get(tuple(k), 0) + c
-        cols = list(zip(*[(*k, c) for k, c in found.items()], strict=True)) if found else [[], [], [], []]
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "q": pa.array(cols[1], pa.int32()), "lower": pa.array(cols[2], pa.int32()), "n": pa.array(cols[3], pa.int64())})
+            both = p[order], p[1] if order == 2 else _mixed(ctx, p, weights, types, order - 1)
+            code = ctx[order].astype(np.int64)
+            for x in both:
+                code = code * 4096 + np.where(x > 0, 2048 + np.round(np.log2(np.maximum(x, 1e-30)) * BINS).astype(int), 0)
+            keys, at, n = np.unique(code, return_inverse=True, return_counts=True)
+            parts.append((keys, *(np.bincount(at, x, len(keys)) for x in both), n))
+        code, p, lower, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 4
+        return pa.table({"code": pa.array(code, pa.int64()), "p": pa.array(p, pa.float64()), "lower": pa.array(lower, pa.float64()), "n": pa.array(n, pa.int64())})
 
     needed = counts.where(F.col("deleted") & (F.col("n") <= order)).select("n", "bucket", "block", "kept")
     held = table.where("deleted").groupBy("block").cogroup(needed.groupBy("block"))
-    return held.applyInArrow(run, "bucket int, q int, lower int, n long").groupBy("bucket", "q", "lower").agg(F.sum("n").alias("n"))
+    summed = held.applyInArrow(run, "code long, p double, lower double, n long").groupBy("code").agg(*[F.sum(x).alias(x) for x in ("p", "lower", "n")])
+    return summed.select(F.shiftright("code", 24).cast("int").alias("bucket"), (F.col("p") / F.col("n")).alias("p"), (F.col("lower") / F.col("n")).alias("lower"), "n")
 
 
 def _maximise(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, first: list[float], unseen: list[float], rounds: int) -> np.ndarray:
@@ -284,23 +280,19 @@ def _maximise(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, first: list[floa
     return out
 
 
-def _unbinned(q: np.ndarray) -> np.ndarray:
-    return np.where(q > 0, 0.0, 2.0 ** (q / BINS))
-
-
-def learn_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndarray, types: int, rounds: int = 200) -> np.ndarray:
+def learn_weights(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, n: np.ndarray, types: int, rounds: int = 1000) -> np.ndarray:
     """Expectation-maximisation; weights (l2, l1, l0) for each bucket up to 63.
 
     A bucket without events takes the weights of the nearest lower bucket that has some
     (bucket 0, without a bigram estimate: no weight for it).
     """
-    p = np.stack([_unbinned(q2), _unbinned(q1), np.full(len(n), 1 / (types + 1))], 1)
+    p = np.stack([p2, p1, np.full(len(n), 1 / (types + 1))], 1)
     return _maximise(bucket, p, n, [0.4, 0.4, 0.2], [0.0, 0.7, 0.3], rounds)
 
 
-def learn_shares(bucket: np.ndarray, q: np.ndarray, lower: np.ndarray, n: np.ndarray, rounds: int = 200) -> np.ndarray:
+def learn_shares(bucket: np.ndarray, p: np.ndarray, lower: np.ndarray, n: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Weights (m, 1 - m) of an order above two and of the model below it, by the same maximisation."""
-    return _maximise(bucket, np.stack([_unbinned(q), _unbinned(lower)], 1), n, [0.4, 0.6], [0.0, 1.0], rounds)
+    return _maximise(bucket, np.stack([p, lower], 1), n, [0.4, 0.6], [0.0, 1.0], rounds)
 
 
 def score(docs: DataFrame, order: int = 3, deleted_of: int = 8, block_bytes: int = 2 << 20, keys_per_bucket: int = 600_000) -> DataFrame:
@@ -318,15 +310,15 @@ def score(docs: DataFrame, order: int = 3, deleted_of: int = 8, block_bytes: int
     table = written(blocks(docs, block_bytes), "blocks")
     size = table.groupBy().agg(F.sum("n_train").alias("n"), F.sum(F.when(~F.col("deleted"), F.col("n_train"))).alias("kept"), F.count(F.lit(1)).alias("blocks")).first()
     total, kept = int(size["n"] or 0), int(size["kept"] or 0)
-    buckets = int(min(1 << 16, max(64, total // keys_per_bucket)))
-    counts = written(exchange(table, buckets, order), "counts")
+    buckets = int(min(1 << 24, max(64, total // keys_per_bucket)))
+    counts = written(exchange(table, buckets, order, total), "counts")
     types = int(counts.where("block is null and n = 1").agg(F.sum("types")).first()[0] or 0)
     counts = counts.where("block is not null")
     weights: dict[int, np.ndarray] = {}
     for k in range(2, order + 1):
-        hist = held_out_histogram(table, counts, buckets, kept, types, k, weights).toArrow()  # bounded: buckets times bins squared
-        bucket, q, lower, n = (hist.column(c).to_numpy() for c in ("bucket", "q", "lower", "n"))
-        weights[k] = learn_weights(bucket, q, lower, n, types) if k == 2 else learn_shares(bucket, q, lower, n)
+        hist = held_out_histogram(table, counts, buckets, total, kept, types, k, weights).toArrow()  # bounded: buckets times classes squared
+        bucket, p, lower, n = (hist.column(c).to_numpy() for c in ("bucket", "p", "lower", "n"))
+        weights[k] = learn_weights(bucket, p, lower, n, types) if k == 2 else learn_shares(bucket, p, lower, n)
     if not total:
         weights[2][:] = [0.0, 0.0, 1.0]
 
@@ -334,7 +326,7 @@ def score(docs: DataFrame, order: int = 3, deleted_of: int = 8, block_bytes: int
         cols = {x: [] for x in ("doc_id", "n_tokens", "n_known", "base_score", "score")}
         rows = right.to_pylist()
         for row in left.to_pylist():
-            b = Block(row, buckets, order)
+            b = Block(row, buckets, order, total)
             ctx, p, cw = _estimates(b, rows, "whole", total, order)
             logp = np.log10(_mixed(ctx, p, weights, types, order))
             base = np.log10((cw + 1) / (total + types + 1))

@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.interpolation import _pack, _unpack
 from lodestone.llm.suffixes import suffix_arrays
-from lodestone.llm.textbytes import U, chunks, column_bytes, prefix, ragged, span_hash
+from lodestone.llm.textbytes import U, chunks, column_bytes, pack, prefix, ragged, span_hash, unpack
 from lodestone.session import written
 
 GRAM = 64
@@ -89,7 +88,7 @@ class Block:
         self.batch = pa.ipc.open_stream(row["payload"]).read_all().combine_chunks()
         text = self.batch.column("text")
         self.buf, self.bounds = column_bytes(text.combine_chunks() if isinstance(text, pa.ChunkedArray) and text.num_chunks != 1 else text.chunk(0))
-        q, lo, hi = (_unpack(row[x]).astype(np.int64) for x in ("anchors", "back", "ahead"))
+        q, lo, hi = (unpack(row[x]).astype(np.int64) for x in ("anchors", "back", "ahead"))
         q = np.cumsum(q)
         self.q, self.lo, self.hi = q, q - lo, q - hi
         sums = prefix(self.buf)
@@ -115,7 +114,7 @@ class Block:
         """0, 1 (all windows go) or 2 (look closer) for each distinct support."""
         out = np.zeros(len(self.o), np.uint8)
         for bucket, packed in self.verdicts(rows, 1):
-            out[self.cut[bucket] : self.cut[bucket + 1]] = _unpack(packed)
+            out[self.cut[bucket] : self.cut[bucket + 1]] = unpack(packed)
         return out
 
     def closer(self, marks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +137,7 @@ def blocks(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
         return pa.RecordBatch.from_pydict(
             {
                 "block": [uuid.uuid4().hex], "doc_ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), "n_anchors": pa.array([len(q)], pa.int64()),
-                "anchors": [_pack(np.diff(q, prepend=0))], "back": [_pack(q - lo)], "ahead": [_pack(q - hi)],
+                "anchors": [pack(np.diff(q, prepend=0))], "back": [pack(q - lo)], "ahead": [pack(q - hi)],
                 "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             }
         )
@@ -173,17 +172,17 @@ def first_pass(table: DataFrame, buckets: int, length: int) -> DataFrame:
                     lo, hi = b.cut[k], b.cut[k + 1]
                     if lo < hi:
                         docs, which = np.unique(b.doc[b.o[lo:hi]], return_inverse=True)
-                        for col, v in zip(cols.values(), (k, row["block"], _pack(np.diff(b.low[lo:hi], prepend=U(0))), _pack(b.whole[lo:hi]), b.ids[docs].tobytes(), _pack(which)), strict=True):
+                        for col, v in zip(cols.values(), (k, row["block"], pack(np.diff(b.low[lo:hi], prepend=U(0))), pack(b.whole[lo:hi]), b.ids[docs].tobytes(), pack(which)), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int32()), pa.array(cols["block"], pa.string()), *(pa.array(cols[x], pa.binary()) for x in ("a", "b", "ids", "doc"))], names=list(cols))
 
     def judge(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         rows = t.to_pylist()
-        low = [np.cumsum(_unpack(r["a"])) for r in rows]
+        low = [np.cumsum(unpack(r["a"])) for r in rows]
         sizes = [len(x) for x in low]
-        whole = np.concatenate([_unpack(r["b"]) for r in rows])
-        doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[_unpack(r["doc"]).astype(int)] for r in rows])
+        whole = np.concatenate([unpack(r["b"]) for r in rows])
+        doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[unpack(r["doc"]).astype(int)] for r in rows])
         low = np.concatenate(low)
         o = np.lexsort((doc, whole, low))  # stable: blocks by name among equal ids
         anchor = np.r_[True, low[o][1:] != low[o][:-1]]
@@ -196,7 +195,7 @@ def first_pass(table: DataFrame, buckets: int, length: int) -> DataFrame:
         return pa.table(
             {
                 "stage": pa.array([1] * n, pa.int32()), "bucket": t.column("bucket"), "block": t.column("block"),
-                "out": pa.array([_pack(p) for p in parts], pa.binary()), "closer": pa.array([int((p == 2).sum()) for p in parts], pa.int64()),
+                "out": pa.array([pack(p) for p in parts], pa.binary()), "closer": pa.array([int((p == 2).sum()) for p in parts], pa.int64()),
             }
         )
 
@@ -256,20 +255,20 @@ def second_pass(table: DataFrame, verdicts: DataFrame, buckets: int, deeper: int
                 data = b.buf[ragged(b.lo[own], size)].tobytes()
                 # the place of the support and of its anchor in the document
                 at = np.concatenate([b.lo[own] - b.bounds[b.doc[own]], b.q[own] - b.lo[own]])
-                for col, v in zip(cols.values(), (int(k), row["block"], _pack(b.low[which[cut[k] : cut[k + 1]]]), b.ids[docs].tobytes(), _pack(of), _pack(at), _pack(size), squeeze.compress(data)), strict=True):
+                for col, v in zip(cols.values(), (int(k), row["block"], pack(b.low[which[cut[k] : cut[k + 1]]]), b.ids[docs].tobytes(), pack(of), pack(at), pack(size), squeeze.compress(data)), strict=True):
                     col.append(v)
         return pa.table({"bucket": pa.array(cols["bucket"], pa.int32()), "block": pa.array(cols["block"], pa.string()), **{x: pa.array(cols[x], pa.binary()) for x in list(cols)[2:]}})
 
     def sort_windows(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         rows = t.to_pylist()
-        low = [_unpack(r["a"]) for r in rows]
+        low = [unpack(r["a"]) for r in rows]
         sizes = [len(x) for x in low]
         low = np.concatenate(low)
-        doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[_unpack(r["doc"]).astype(int)] for r in rows])
+        doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[unpack(r["doc"]).astype(int)] for r in rows])
         name = np.repeat(np.arange(len(rows)), sizes)
-        at = np.concatenate([_unpack(r["at"]).astype(np.int64)[:n] for r, n in zip(rows, sizes, strict=True)])
-        size = np.concatenate([_unpack(r["size"]).astype(np.int64) for r in rows])
+        at = np.concatenate([unpack(r["at"]).astype(np.int64)[:n] for r, n in zip(rows, sizes, strict=True)])
+        size = np.concatenate([unpack(r["size"]).astype(np.int64) for r in rows])
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["bytes"]) for r in rows), np.uint8)
         begin = np.cumsum(size) - size
         gone = np.zeros(int((size - length + 1).sum()), bool)
@@ -303,7 +302,7 @@ def second_pass(table: DataFrame, verdicts: DataFrame, buckets: int, deeper: int
                 k = nxt
         bits = np.split(gone, np.cumsum([int((size[name == i] - length + 1).sum()) for i in range(len(rows))])[:-1])
         n = len(rows)
-        return pa.table({"stage": pa.array([2] * n, pa.int32()), "bucket": t.column("bucket"), "block": t.column("block"), "out": pa.array([_pack(np.packbits(x)) for x in bits], pa.binary()), "closer": pa.array([0] * n, pa.int64())})
+        return pa.table({"stage": pa.array([2] * n, pa.int32()), "bucket": t.column("bucket"), "block": t.column("block"), "out": pa.array([pack(np.packbits(x)) for x in bits], pa.binary()), "closer": pa.array([0] * n, pa.int64())})
 
     sent = table.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(send, "bucket int, block string, a binary, ids binary, doc binary, at binary, size binary, bytes binary")
     return sent.groupBy("bucket").applyInArrow(sort_windows, "stage int, bucket int, block string, out binary, closer long")
@@ -348,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 2 << 2
             for bucket, packed in b.verdicts(rows, 2):
                 own = b.o[which[cut[bucket] : cut[bucket + 1]]]
                 n = b.hi[own] - b.lo[own] + 1
-                gone = np.unpackbits(_unpack(packed).astype(np.uint8))[: int(n.sum())].astype(bool)
+                gone = np.unpackbits(unpack(packed).astype(np.uint8))[: int(n.sum())].astype(bool)
                 at = ragged(b.lo[own], n)[gone]
                 remove(at, at + length)
             keep = np.cumsum(cover[:-1]) == 0

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 # Arrays of a megabyte and more go back to the system when they are freed. By default the C library
 # raises that limit as a worker runs, and a worker that serves many stages keeps what its largest one took.
@@ -118,3 +119,21 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lens) - lens
     return np.arange(total, dtype=np.int64) - np.repeat(first - starts, lens)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Small numbers as byte planes, compressed."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = 8
+    while used > 1 and not raw[used - 1].any():
+        used -= 1
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(raw[:used].tobytes())
+
+
+def unpack(b: bytes) -> np.ndarray:
+    """The numbers that :func:`pack` packed."""
+    used = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(used, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :used] = planes.T
+    return out.view("<u8")[:, 0]

@@ -232,8 +232,8 @@ def test_model_is_a_distribution(spark):
 
 def test_weights_by_expectation_maximisation():
     # events that the pair estimate explains well must give it the weight
-    q = np.array([-8, -80]), np.array([-80, -80])
-    w = interpolation.learn_weights(np.array([3, 3]), *q, np.array([99, 1]), 1000)
+    p = np.array([0.5, 1e-3]), np.array([1e-3, 1e-3])
+    w = interpolation.learn_weights(np.array([3, 3]), *p, np.array([99, 1]), 1000)
     assert w[3, 0] > 0.9 and abs(w.sum(1) - 1).max() < 1e-9 and w[0, 0] == 0
 
 
@@ -266,6 +266,82 @@ def test_model_of_order_three(spark, monkeypatch):
         assert abs(got[i] - want) < 1e-9
 
 
+def direct_model(rows, deleted):
+    """Scores by a plain program: counts in dictionaries, and maximisation over every held-out event by itself."""
+
+    def counts(ids):
+        c = [Counter() for _ in range(4)]
+        for i in ids:
+            t = toks[i]
+            for k in range(2, len(t)):
+                for n in range(1, 4):
+                    c[n][tuple(t[k - n + 1 : k + 1])] += 1
+                c[0][()] += 1
+        return c
+
+    def level(c, h):  # of a context: 0, or one more than the logarithm of its count
+        many = sum(v for g, v in c[len(h) + 1].items() if g[:-1] == h) if h not in seen else seen[h]
+        seen[h] = many
+        return many, int(math.log2(many)) + 1 if many else 0
+
+    def p(c, g, n, types, w):
+        if n == 1:
+            return None
+        many, k = level(c, g[-n:-1])
+        own = c[n][g[-n:]] / many if many else 0.0
+        if n == 2:
+            return k, (own, c[1][g[-1:]] / c[0][()], 1 / (types + 1)), None
+        k2, e2, _ = p(c, g, 2, types, w)
+        return k, (own, sum(a * b for a, b in zip(w[2][k2], e2, strict=True))), None
+
+    toks = {i: ["<s>", "<s>", *t.split(), "</s>"] for i, t, _ in rows}
+    train = [i for i, _, x in rows if x]
+    whole, kept = counts(train), counts([i for i in train if i not in deleted])
+    types, w = len(whole[1]), {}
+    for n in (2, 3):
+        events, seen = defaultdict(list), {}
+        for i in train:
+            if i in deleted:
+                for k in range(2, len(toks[i])):
+                    at, e, _ = p(kept, tuple(toks[i][k - 2 : k + 1]), n, types, w)
+                    events[at].append(e)
+        size, last = (3, (0.4, 0.4, 0.2)) if n == 2 else (2, (0.4, 0.6))
+        w[n] = {}
+        for at in range(64):
+            now = ((0.0, 0.7, 0.3) if n == 2 else (0.0, 1.0)) if at == 0 else last
+            if events[at]:
+                now = (0.0, *[1 / (size - 1)] * (size - 1)) if at == 0 else (1 / size,) * size
+                for _ in range(1000):
+                    share = [[a * b / sum(a * b for a, b in zip(now, e, strict=True)) for a, b in zip(now, e, strict=True)] for e in events[at]]
+                    new = [max(sum(s), 1e-6 * len(share)) if old else 0.0 for s, old in zip(zip(*share, strict=True), now, strict=True)]
+                    new = tuple(x / sum(new) for x in new)
+                    done = max(abs(a - b) for a, b in zip(new, now, strict=True)) < 1e-9
+                    now = new
+                    if done:
+                        break
+            if at:
+                last = now
+            w[n][at] = now
+    out, seen = {}, {}
+    for i, t in toks.items():
+        out[i] = 0.0
+        for k in range(2, len(t)):
+            at, e, _ = p(whole, tuple(t[k - 2 : k + 1]), 3, types, w)
+            out[i] += math.log10(sum(a * b for a, b in zip(w[3][at], e, strict=True)))
+    return out
+
+
+def test_scores_against_a_direct_program(spark):
+    r = random.Random(8)
+    words = [f"w{int(r.expovariate(0.15))}" for _ in range(400)]
+    rows = [(i, " ".join(r.choice([r.choice(words), "a b", "a c d"]) for _ in range(r.randint(0, 25))), i % 7 != 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    deleted = {x[0] for x in df.where("train and pmod(xxhash64(4, doc_id, text), 8) = 0").select("doc_id").collect()}
+    want = direct_model(rows, deleted)
+    got = {x["doc_id"]: x["score"] for x in interpolation.score(df, block_bytes=2000).collect()}
+    assert len(deleted) > 5 and all(abs(got[i] - want[i]) < 2e-3 * abs(want[i]) + 1e-6 for i in want)
+
+
 def test_scoring_of_odd_rows(spark):
     df = docs(spark).withColumn("train", F.col("doc_id") < 6)
     assert interpolation.score(df).count() == len(ROWS)
