@@ -11,17 +11,23 @@ none reaches the threshold are passed over. The rest run block-max WAND: lists a
 next items, the pivot is where summed bounds reach the threshold, and blocks whose greatest
 weights fall short are skipped. Every item at or above the threshold is found.
 
-*Verification.* An item leaks if the passage holds at least 0.8 of the word 5-grams of its
-question, and of its answer (its last sentences, five words at least).
+*Verification.* An item leaks if the passage holds at least 0.8 of its question, and of its
+answer (its last sentences, five words at least). A part is held as far as its word 5-grams are. In a part
+of fewer than 25 of them one changed word would cost more than a fifth, so there its words may count instead: the
+share of them that stand in the passage in step, with at most one word put in or left out.
+
+*Large benchmarks.* Word frequencies, mean length and number of items are those of the whole benchmark; items
+are searched in parts of a bounded size, one pass over the texts for each. A part's index uses those
+same figures, so an item's score doesn't depend on which items share its part.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.textbytes import U, chunks, column_bytes, prefix, ragged, span_hash, words
+from lodestone.session import drop, written
 
 _K1, _B = 1.2, 0.75  # BM25's usual constants
 _END = 1 << 62
@@ -55,43 +62,73 @@ def _grams(h: np.ndarray, size: int) -> set[bytes]:
     return {h[i : i + size].tobytes() for i in range(len(h) - size + 1)}
 
 
+def _in_step(part: np.ndarray, passage: np.ndarray) -> float:
+    """The greatest share of a part's words that stand in a passage at one offset or the next."""
+    own, there = np.nonzero(part[:, None] == passage[None, :])
+    if not len(own):
+        return 0.0
+    n = len(part)
+    offset = np.unique((there - own + n) * n + own)
+    both = np.unique(np.r_[offset, offset + n])  # a word at an offset also counts for the next
+    return float(np.bincount(both // n).max() / n)
+
+
+@dataclass
+class Statistics:
+    """Of a whole benchmark: how many items have a word, their mean and greatest length, and in how many items a word is."""
+
+    items: int
+    mean: float
+    longest: int
+    frequency: dict[int, int]
+
+    @staticmethod
+    def of(texts: list[str | None], size: int = 5) -> Statistics:
+        found = [np.concatenate(_word_hashes(list(split_item(t or "", size)))) for t in texts]
+        n = sum(1 for x in found if len(x)) or 1
+        return Statistics(n, sum(map(len, found)) / n or 1, max(map(len, found), default=0), Counter(int(w) for x in found for w in np.unique(x)))
+
+
 class Index:
     """Inverted index of items, with block-max WAND retrieval."""
 
-    def __init__(self, ids: list[int], texts: list[str], block: int = 32, size: int = 5, least: float = 0.5):
+    def __init__(self, ids: list[int], texts: list[str], statistics: Statistics | None = None, block: int = 32, size: int = 5, least: float = 0.5, least_words: int = 8):
         self.ids, self.size, self.block, self.least = ids, size, block, least
         parts = [split_item(t or "", size) for t in texts]
         self.question = _word_hashes([q for q, _ in parts])
         self.answer = _word_hashes([a for _, a in parts])
         items = [np.concatenate(x) for x in zip(self.question, self.answer, strict=True)]
-        self.longest = max((len(x) for x in items), default=0)
-        n = sum(1 for x in items if len(x)) or 1
-        mean = sum(map(len, items)) / n or 1
-        seen = Counter(int(w) for x in items for w in np.unique(x))
-        idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in seen.items()}
-        lists: dict[int, list[tuple[int, float]]] = {w: [] for w in seen}
-        for k, x in enumerate(items):
-            tf = Counter(x.tolist())
-            weight = {w: idf[w] * c * (_K1 + 1) / (c + _K1 * (1 - _B + _B * len(x) / mean)) for w, c in tf.items()}
-            whole = sum(weight.values())
-            for w, v in weight.items():
-                lists[w].append((k, v / whole))
-        self.words = np.array(sorted(lists), U)
-        self.items = [[k for k, _ in lists[w]] for w in self.words.tolist()]
-        self.weights = [[v for _, v in lists[w]] for w in self.words.tolist()]
-        self.block_best = [[max(v[i : i + block]) for i in range(0, len(v), block)] for v in self.weights]
-        self.best = np.array([max(v) for v in self.weights])
+        items = [x if len(x) >= least_words else x[:0] for x in items]
+        whole = statistics or Statistics.of(texts, size)
+        self.longest = whole.longest if any(len(x) for x in items) else 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # an item's words and its share of weight in each
+        for x in items:
+            w, tf = np.unique(x, return_counts=True)
+            c = np.array([whole.frequency[k] for k in w.tolist()], float)
+            weight = np.log(1 + (whole.items - c + 0.5) / (c + 0.5)) * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * len(x) / whole.mean))
+            found.append((w, weight / weight.sum()))
+        word = np.concatenate([w for w, _ in found]) if found else np.zeros(0, U)
+        share = np.concatenate([v for _, v in found]) if found else np.zeros(0)
+        item = np.repeat(np.arange(len(items)), [len(w) for w, _ in found])
+        order = np.lexsort((item, word))
+        #: Postings of all words, one list after another, with the bounds of the lists.
+        self.items, self.weights = item[order].astype(np.int32), share[order]
+        self.words, at = np.unique(word[order], return_index=True)
+        self.bounds = np.r_[at, len(word)].astype(np.int64)
+        length = np.diff(self.bounds)
+        self.block_first = np.cumsum(-(-length // block)) - -(-length // block)
+        edges = np.repeat(self.bounds[:-1], -(-length // block)) + block * ragged(np.zeros(len(length), np.int64), -(-length // block))
+        self.block_best = np.maximum.reduceat(self.weights, edges) if len(edges) else np.zeros(0)
+        self.best = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
         # frequent words are set aside while no item would get half the threshold from them
         aside, rare = np.zeros(len(items)), np.ones(len(self.words), bool)
-        for t in sorted(range(len(self.words)), key=lambda t: -len(self.items[t])):
-            if len(self.items[t]) > 1 and all(aside[k] + v <= least / 2 for k, v in zip(self.items[t], self.weights[t], strict=True)):
-                aside[self.items[t]] += self.weights[t]
+        for t in np.argsort(-length, kind="stable").tolist():
+            lo, hi = self.bounds[t], self.bounds[t + 1]
+            if hi - lo > 1 and (aside[self.items[lo:hi]] + self.weights[lo:hi] <= least / 2).all():
+                aside[self.items[lo:hi]] += self.weights[lo:hi]
                 rare[t] = False
         self.need = least - aside
-        self.count = np.array([len(x) if r else 0 for x, r in zip(self.items, rare, strict=True)], np.int64)
-        self.first = np.cumsum(self.count) - self.count
-        self.rare_items = np.array([k for x, r in zip(self.items, rare, strict=True) if r for k in x], np.int64)
-        self.rare_weights = np.array([v for x, r in zip(self.weights, rare, strict=True) if r for v in x], float)
+        self.count = np.where(rare, length, 0)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The index's numbers of words; -1 for others."""
@@ -103,21 +140,22 @@ class Index:
     def reachable(self, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Of (passage, word) pairs: passages in which some item may reach the threshold."""
         many = self.count[term]
-        at = ragged(self.first[term], many)
-        key = np.repeat(passage, many) * len(self.need) + self.rare_items[at]
+        at = ragged(self.bounds[term], many)
+        key = np.repeat(passage, many) * len(self.need) + self.items[at]
         keys, which = np.unique(key, return_inverse=True)
-        total = np.bincount(which, weights=self.rare_weights[at], minlength=len(keys))
+        total = np.bincount(which, weights=self.weights[at], minlength=len(keys))
         return np.unique(keys[total >= self.need[keys % len(self.need)] - 1e-9] // len(self.need))
 
     def search(self, terms: list[int], least: float | None = None) -> list[tuple[int, float]]:
         """(item number, score) of all items at or above a threshold for a set of words."""
         least = self.least if least is None else least
         found = []
+        lists = {t: self.items[self.bounds[t] : self.bounds[t + 1]].tolist() for t in terms}
         at = dict.fromkeys(terms, 0)
         while True:
-            live = sorted((self.items[t][at[t]], t) for t in terms if at[t] < len(self.items[t]))
+            live = sorted((lists[t][at[t]], t) for t in terms if at[t] < len(lists[t]))
             bound, pivot = 0.0, None
-            for k, (item, t) in enumerate(live):
+            for k, (_, t) in enumerate(live):
                 bound += float(self.best[t])
                 if bound >= least:
                     pivot = k
@@ -130,16 +168,16 @@ class Index:
             # bounds of the blocks that the target would lie in, and where the first of them ends
             bound, nxt = 0.0, live[pivot + 1][0] if pivot + 1 < len(live) else _END
             for _, t in live[: pivot + 1]:
-                k = bisect_left(self.items[t], target, at[t]) // self.block
-                if k < len(self.block_best[t]):
-                    bound += self.block_best[t][k]
-                    nxt = min(nxt, self.items[t][min((k + 1) * self.block, len(self.items[t])) - 1] + 1)
+                k = bisect_left(lists[t], target, at[t]) // self.block
+                if k * self.block < len(lists[t]):
+                    bound += float(self.block_best[self.block_first[t] + k])
+                    nxt = min(nxt, lists[t][min((k + 1) * self.block, len(lists[t])) - 1] + 1)
             if bound >= least:
                 score = 0.0
                 for _, t in live[: pivot + 1]:
-                    k = bisect_left(self.items[t], target, at[t])
-                    if k < len(self.items[t]) and self.items[t][k] == target:
-                        score += self.weights[t][k]
+                    k = bisect_left(lists[t], target, at[t])
+                    if k < len(lists[t]) and lists[t][k] == target:
+                        score += float(self.weights[self.bounds[t] + k])
                         k += 1
                     at[t] = k
                 if score >= least:
@@ -147,15 +185,16 @@ class Index:
             else:
                 nxt = max(nxt, target + 1)
                 for _, t in live[: pivot + 1]:
-                    at[t] = bisect_left(self.items[t], nxt, at[t])
+                    at[t] = bisect_left(lists[t], nxt, at[t])
 
     def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of the question's and the answer's n-grams in a passage (no gram: 1)."""
+        """How far a passage holds the question and the answer (an empty part: 1)."""
         out = []
         for part in (self.question[item], self.answer[item]):
             size = min(self.size, len(part))
             own = _grams(part, size) if size else set()
-            out.append(len(own & _grams(passage, size)) / len(own) if own else 1.0)
+            held = len(own & _grams(passage, size)) / len(own) if own else 1.0
+            out.append(held if len(own) >= 25 or held == 1.0 else max(held, _in_step(part, passage)))
         return out[0], out[1]
 
 
@@ -188,33 +227,64 @@ def _leaks(index: Index, overlap: float, column: pa.Array) -> list[list[dict]]:
         terms = np.unique(term[a:b])
         for item, score in index.search(terms[terms >= 0].tolist()):
             q, r = index.overlaps(item, h[a:b])
-            if q >= overlap and r >= overlap and score > out[i].get(item, {"score": -1.0})["score"]:
-                out[i][item] = {"item_id": index.ids[item], "score": float(score), "question_overlap": q, "answer_overlap": r}
-    return [[x[k] for k in sorted(x)] for x in out]
+            if q >= overlap and r >= overlap and (round(score, 9), q, r) > out[i].get(item, ((-1.0,),))[0]:
+                out[i][item] = (round(score, 9), q, r), {"item_id": index.ids[item], "score": float(score), "question_overlap": q, "answer_overlap": r}
+    return [[x[k][1] for k in sorted(x)] for x in out]
 
 
 LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.5, overlap: float = 0.8, index_bytes: int = 32 << 20) -> DataFrame:
+def _frequencies(items: DataFrame, size: int = 5) -> DataFrame:
+    """(item_id, text) -> (part, hash, n, words, longest): in how many items of a part a word is; without a hash: the part's items and words, and the most words of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in chunks(batch, "text"):
+                part = np.array(b.column("part").to_pylist())
+                for p in np.unique(part):
+                    st = Statistics.of(b.column("text").filter(pa.array(part == p)).to_pylist(), size)
+                    keys = np.array(list(st.frequency), U).view(np.int64)
+                    any_ = 1 if len(keys) else 0
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "part": pa.array([int(p)] * (len(keys) + any_), pa.int32()), "hash": pa.array([*keys.tolist(), *[None] * any_], pa.int64()),
+                            "n": pa.array([*st.frequency.values(), *[st.items] * any_], pa.int64()), "words": pa.array([0] * len(keys) + [round(st.items * st.mean)] * any_, pa.int64()),
+                            "longest": pa.array([0] * len(keys) + [st.longest] * any_, pa.int64()),
+                        }
+                    )
+
+    return items.select("part", "text").mapInArrow(run, "part int, hash long, n long, words long, longest long").groupBy("part", "hash").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = 0.5, overlap: float = 0.8, index_bytes: int = 32 << 20, least_words: int = 8) -> DataFrame:
     """``docs`` with ``leaks``: the items of ``benchmark(item_id, text)`` that a text gives away.
 
     An array of (item_id, score, question_overlap, answer_overlap), in order of items; empty if
-    clean. Null and empty texts and items leak nothing; repeated items are found each. ``least`` is
+    clean. Null and empty texts and items leak nothing, nor do items of fewer than ``least_words`` words, which
+    say nothing about where a text is from; repeated items are found each. ``least`` is
     a share of an item's own BM25 score. The benchmark's size is checked: an index holds
-    ``index_bytes`` of its text at most, and a larger benchmark is searched in that many passes over
-    docs. A column ``leaks`` of docs is replaced; all others stay.
+    ``index_bytes`` of its text, and a larger benchmark is searched in parts, with a pass over
+    docs for each, written before the next part is loaded; parts share one set of statistics. A column ``leaks`` of
+    docs is replaced; all others stay.
     """
     spark = docs.sparkSession
     docs = docs.drop("leaks")
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // index_bytes))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    words_ = written(_frequencies(items), "words")
+    figures = words_.where("hash is null").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    whole = words_.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"))
+    n = int(figures["n"] or 0) or 1
+    mean, longest = float(figures["words"] or 0) / n or 1.0, int(figures["longest"] or 0)
     out = docs
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        rows = own.orderBy("item_id", "text").collect()  # about index_bytes of text
-        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], least=least))
+        rows = items.where(F.col("part") == part).orderBy("item_id", "text").collect()  # about index_bytes of text
+        mine = words_.where((F.col("part") == part) & F.col("hash").isNotNull()).select("hash").join(whole, "hash").toArrow()  # the words of these items
+        seen = dict(zip(mine.column("hash").to_numpy().view(U).tolist(), mine.column("n").to_pylist(), strict=True))
+        index = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows], Statistics(n, mean, longest, seen), least=least, least_words=least_words))
         names = out.columns
         at, earlier = names.index(text), names.index("leaks") if part else None
 
@@ -230,5 +300,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least:
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        out = out.mapInArrow(run, schema + ", leaks array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>")
-    return out
+        found = out.mapInArrow(run, schema + ", leaks array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>")
+        if part + 1 < parts:
+            before, out = out, written(found, "leaks")
+            index.destroy()
+            drop(before)
+        else:
+            out = found
+    return out.withColumn("leaks", F.array_sort("leaks")) if parts > 1 else out

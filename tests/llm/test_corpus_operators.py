@@ -169,12 +169,13 @@ def test_wand_finds_all_above_the_threshold():
         r = random.Random(seed)
         vocabulary = [f"w{i}" for i in range(60)]
         items = [" ".join(r.choice(vocabulary) for _ in range(r.randint(3, 30))) for _ in range(r.randint(1, 200))]
-        ix = decontam.Index(list(range(len(items))), items, block=r.choice([1, 3, 32]))
+        ix = decontam.Index(list(range(len(items))), items, block=r.choice([1, 3, 32]), least_words=1)
         for _ in range(10):
             terms = sorted({int(t) for t in ix.find(decontam._word_hashes([" ".join(r.sample(vocabulary, r.randint(1, 30)))])[0]) if t >= 0})
             least, score = r.choice([0.1, 0.3, 0.5, 0.7]), Counter()
             for t in terms:
-                for i, w in zip(ix.items[t], ix.weights[t], strict=True):
+                own = slice(ix.bounds[t], ix.bounds[t + 1])
+                for i, w in zip(ix.items[own].tolist(), ix.weights[own].tolist(), strict=True):
                     score[i] += w
             assert sorted(i for i, v in ix.search(terms, least) if v >= least + 1e-9) == sorted(i for i, v in score.items() if v >= least + 1e-9)
 
@@ -193,6 +194,67 @@ def test_leaks(spark):
     assert decontam.find_leaks(df, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def test_parts_of_a_benchmark_share_their_statistics(spark):
+    """Leaks and scores are those of one index, whatever the number of parts, and those of a plain program."""
+    r = random.Random(6)
+    word = lambda: f"w{int(r.expovariate(0.02))}"
+    items = [" ".join(word() for _ in range(r.randint(3, 60))) + "? " + " ".join(word() for _ in range(r.randint(1, 30))) + "." for _ in range(200)]
+    rows = []
+    for i in range(60):
+        t = r.choice(items).split() + [word() for _ in range(r.choice([0, 40]))]
+        for _ in range(r.choice([0, 0, 1, 4])):
+            t[r.randrange(len(t))] = word()
+        rows.append((i, " ".join([word() for _ in range(r.choice([0, 90]))] + t)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len(t.encode()) for t in items)
+    got = [
+        {(x["doc_id"], k["item_id"]): (round(k["score"], 9), k["question_overlap"], k["answer_overlap"]) for x in decontam.find_leaks(df, bench, index_bytes=b).collect() for k in x["leaks"]}
+        for b in (size, size // 5 + 1)
+    ]
+    assert got[0] == got[1] and len(got[0]) > 30
+
+    words = lambda t: re.findall("[0-9a-z]+", t)
+    split = [[words(x) for x in decontam.split_item(t)] for t in items]
+    seen = Counter(w for t in split for w in set(t[0] + t[1]))
+    mean = sum(len(q) + len(a) for q, a in split) / 200
+    want = {}
+    longest = max(len(q) + len(a) for q, a in split)
+    for i, t in rows:
+        t = words(t)
+        for k, parts in enumerate(split):
+            tf = Counter(parts[0] + parts[1])
+            n = sum(tf.values())
+            if n < 8:
+                continue
+            weight = {w: math.log(1 + (200 - seen[w] + 0.5) / (seen[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean)) for w, c in tf.items()}
+            size_ = max(64, 2 * longest)
+            for at in range(0, max(1, len(t) - size_ + size_ // 2), size_ // 2):
+                passage = t[at : at + size_]
+                score = sum(weight[w] for w in set(passage) if w in weight) / sum(weight.values())
+                held = []
+                for part in parts:
+                    z = min(5, len(part))
+                    own = {tuple(part[j : j + z]) for j in range(len(part) - z + 1)} if z else set()
+                    there = {tuple(passage[j : j + z]) for j in range(len(passage) - z + 1)}
+                    share = len(own & there) / len(own) if own else 1.0
+                    if len(own) < 25 and share < 1:
+                        for d in range(-len(part), len(passage)):
+                            step = sum(any(0 <= j + e < len(passage) and passage[j + e] == w for e in (d, d - 1)) for j, w in enumerate(part))
+                            share = max(share, step / len(part))
+                    held.append(share)
+                if score >= 0.5 and min(held) >= 0.8:
+                    want[i, k] = max((round(score, 9), *held), want.get((i, k), (-1,)))
+    assert got[0] == want
+
+
+def test_short_items_leak_nothing(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "No it is not.")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "Yes, of course. No it is not. " * 9)], "doc_id long, text string")
+    assert decontam.find_leaks(df, bench).first()["leaks"] == []
+    assert len(decontam.find_leaks(df, bench, least_words=1).first()["leaks"]) == 2
+
+
 def test_leaks_in_the_tables(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries()["op3_decontamination"](spark, SF).collect()}
     items = table(SF, "benchmark")
