@@ -124,8 +124,8 @@ def brute_join(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [500_000, 400])
-def test_join_against_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "classes"), [(500_000, 1024), (400, 1024), (500_000, 3)])
+def test_join_against_brute_force(spark, chunk, classes):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     rows = []
@@ -138,10 +138,58 @@ def test_join_against_brute_force(spark, chunk):
             rows.append((len(rows), " ".join(own)))
     rows += [(len(rows) + k, t) for k, t in enumerate(["", "?", "one two", "One, two!"])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x["doc_id"]: (x["class_id"], x["text_id"], x["n_links"], x["n_copies"]) for x in jaccard.join(df, chunk_grams=chunk).collect()}
+    got = {x["doc_id"]: (x["class_id"], x["text_id"], x["n_links"], x["n_copies"]) for x in jaccard.join(df, chunk_grams=chunk, chunk_classes=classes).collect()}
     assert got == brute_join(rows)
 
 
+def test_join_of_a_chain(spark, monkeypatch):
+    """Texts that share half of their n-grams with the next ones: bands join them all, yet few sets are sent."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 34])) for i in range(190)] + [(500, " ".join(words[300:334])), (501, " ".join([*words[300:333], "z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    monkeypatch.setattr(jaccard, "written", lambda d, name, put=jaccard.written: sent.append((name, put(d, name))) or sent[-1][1])
+    got = {x["doc_id"]: (x["class_id"], x["text_id"], x["n_links"], x["n_copies"]) for x in jaccard.join(df).collect()}
+    assert got == brute_join(rows) and got[501][0] == 30
+    member = next(d for name, d in sent if name == "members")
+    assert member.groupBy("value").count().agg(F.max("count")).first()[0] < 12  # buckets of neighbours, never the chain
+
+
+def test_join_of_many_short_texts(spark):
+    """20,000 texts of six words each, so two n-grams; chunks are bounded in classes."""
+    df = spark.range(20_000).selectExpr("id as doc_id", "concat('one two three four five ', if(id % 2 = 0, id, id - 1), if(id % 2 = 0, '', '!')) as text")
+    got = jaccard.join(df).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_links").alias("l"), F.max("n_copies").alias("c")).collect()
+    assert len(got) == 10_000 and all((r["n"], r["l"], r["c"]) == (2, 0, 2) for r in got)
+
+
+def test_recall_at_the_threshold(spark):
+    """Every one of 400 pairs whose similarity is 0.8 to 0.82 is found."""
+    r = random.Random(9)
+    rows = []
+    for g in range(400):
+        w = [f"{g}x{r.random()}" for _ in range(104)]
+        own = list(w)
+        for k in (30, 60):
+            own[k] = "changed"
+        own = own[:100]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w[:100], own))
+        assert 0.8 < len(a & b) / len(a | b) < 0.82
+        rows += [(2 * g, " ".join(w[:100])), (2 * g + 1, " ".join(own))]
+    got = {x["doc_id"]: x["class_id"] for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [(1, "unique text one here", "a"), (1, text, "b"), (2, text, "c"), (2, text, "c"), (None, text, "d"), (None, near, "e"), (7, near.upper(), "f"), (8, "", "g"), (8, "", "g"), (None, None, "h"), (9, "?!", "i"), (None, "null ids only", "j"), (None, "Null ids, only!", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `key` string")
+    got = sorted((str(r["doc_id"]), r["key"]) for r in jaccard.keep_one(df).collect())
+    assert [x for x in got if x[1] not in "jk"] == sorted([("1", "a"), ("1", "b"), ("8", "g"), ("8", "g"), ("None", "h"), ("9", "i")])
+    assert len([x for x in got if x[1] in "jk"]) == 1
+    assert jaccard.keep_one(df.limit(0)).count() == 0 and jaccard.keep_one(df).columns == df.columns
+
+
 def test_join_of_odd_rows(spark):
     got = jaccard.join(docs(spark)).collect()
     assert len(got) == len(ROWS)
