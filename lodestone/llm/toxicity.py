@@ -1,47 +1,49 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-*Token scores.* Words of labelled documents give log-odds of toxic against clean use, with a
-Dirichlet prior in proportion to the words' frequency in both. A word whose log-odds
-are surely positive scores its lower confidence bound; every other word scores a small
-negative drift, so that clean text drifts downwards.
+*Token scores.* Labelled documents give log-odds of being found in a toxic against a clean document, for words
+and for their stems (first bytes, as words of one root end in many ways), with a Dirichlet prior in
+proportion to how many documents have them. Where the lower confidence bound of a word or of one of its stems exceeds ``margin``, the
+token scores the greatest such bound. Any other token scores its word's upper bound, if that is below zero, and a small
+drift downwards besides; so every word's own log-odds count, as far as they are sure.
 
 *Segments.* A linear scan finds all maximal scoring segments of a text (Ruzzo and
-Tompa). Only words with a positive score can begin or end one, so the scan visits those.
+Tompa). Only tokens with a positive score can begin or end one, so the scan visits those.
 
 *Calibration.* Scores of segments by chance follow an extreme-value law: a text of n
 words has K n exp(-lambda S) segments of score S or more by chance. lambda solves
-sum p exp(lambda s) = 1 over clean words; K is fitted to the best segments of clean
-documents. A segment is significant if fewer than ``alpha`` such are expected. A
-document's evidence is the log-sum of its segments over that law's location; a logistic curve,
-fitted on the same labelled rows, turns it into a probability.
+sum p exp(lambda s) = 1 over the token scores of clean documents; K is fitted by maximum likelihood to the greatest
+segments of clean documents, those without any being censored. A segment is significant if fewer than ``alpha`` such are expected. A
+document's evidence is the log-sum of its segments over that law's location; a logistic curve
+turns it into a probability. For both fits each half of the labelled rows is scored by the other half's words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.textbytes import U, WORD, chunks, column_bytes, prefix, span_hash, words
+from lodestone.llm.textbytes import U, WORD, chunks, column_bytes, mix, prefix, span_hash, words
 from lodestone.session import drop, written
 
+#: Lengths of stems in bytes; a word has those that are shorter than itself.
+STEMS = (4, 6, 8)
+#: Token scores are counted by steps of this size.
+STEP = 1 / 16
 
-def maximal_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments, as (first word, last word, score), by a linear scan.
 
-    ``at``/``score``: places and scores of the positive words, ascending; each word
-    between scores ``-drift``.
-    """
+def maximal_segments(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a row of scores, as (first, last, score), by a linear scan."""
+    at = np.flatnonzero(x > 0)
+    upto = np.cumsum(x)
     segs: list[list[float]] = []  # first, last, sum before, sum up to the end
-    total, last = 0.0, -1
     stack: list[int] = []  # for a segment: the nearest earlier one with a smaller left sum
-    for p, s in zip(at.tolist(), score.tolist(), strict=True):
-        left = total - drift * (p - last - 1)
-        total, last = left + s, p
+    for p, left, total in zip(at.tolist(), (upto[at] - x[at]).tolist(), upto[at].tolist(), strict=True):
         new = [p, p, left, total]
         while True:
             j = len(segs) - 1
@@ -58,73 +60,95 @@ def maximal_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tu
 
 @dataclass
 class Model:
-    keys: np.ndarray  # hashes of the positive words, ascending
-    values: np.ndarray  # their scores
-    drift: float
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U))  # hashes of words and stems, ascending
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))  # their scores
+    drift: float = 0.1
     lam: float = 1.0
     k: float = 1.0
     alpha: float = 0.05
     a: float = -2.0
     b: float = 1.0
 
-    def location(self, n: int) -> float:
-        """The extreme-value law's location for a text of n words."""
-        return float(np.log(max(self.k * n, 1e-9)) / self.lam)
-
-    def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        """Log of one plus the summed odds of the segments against chance, in [0, 60]."""
-        if not segments:
+    def token_scores(self, forms: list[np.ndarray]) -> np.ndarray:
+        """Scores of tokens by the hashes of their forms, words first."""
+        out = np.zeros(len(forms[0]))
+        if len(self.keys):
+            for f in forms:
+                at = np.minimum(np.searchsorted(self.keys, f), len(self.keys) - 1)
+                own = np.where(self.keys[at] == f, self.values[at], 0.0)
+                out = np.where(out > 0, np.maximum(out, own), np.where(own > 0, own, out if f is not forms[0] else own))
+        return np.where(out > 0, out, out - self.drift)
+
+    def evidence(self, n: int, scores: np.ndarray) -> float:
+        """Log of one plus the summed odds of segments' scores against chance, in [0, 60]."""
+        if not len(scores):
             return 0.0
-        z = np.array([self.lam * (s - self.location(n)) for *_, s in segments])
+        z = self.lam * np.asarray(scores) - np.log(max(self.k * n, 1e-9))
         return float(min(60.0, np.logaddexp.reduce(np.append(z, 0.0))))
 
-    def significant(self, n: int, score: float) -> bool:
-        return self.k * n * np.exp(-self.lam * score) < self.alpha
+    def expected(self, n: int, score: float) -> float:
+        """How many segments of such a score a text of n words has by chance."""
+        return float(self.k * n * np.exp(-self.lam * score))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.a + self.b * evidence)))
 
 
-def _tokens(b: pa.RecordBatch, text: str):
-    buf, bounds = column_bytes(b.column(text))
+def _tokens(col: pa.Array):
+    """Hashes of the tokens' forms (0: none), their rows and bounds, and the texts' bounds."""
+    buf, bounds = column_bytes(col)
     s, e, row = words(buf, bounds, WORD)
-    return span_hash(prefix(buf, lower=True), s, e), row, s, e, bounds
+    h = prefix(buf, lower=True)
+    forms = [span_hash(h, s, e)] + [np.where(e - s > n, mix(span_hash(h, s, np.minimum(e, s + n)) + U(n)), U(0)) for n in STEMS]
+    return forms, row, s, e, bounds
+
 
+def _scan(model: Model, col: pa.Array):
+    """For each row: its tokens' scores, segments, and the byte bounds of its tokens within the text."""
+    forms, row, s, e, bounds = _tokens(col)
+    x = model.token_scores(forms)
+    cut = np.searchsorted(row, np.arange(len(col) + 1))
+    for i in range(len(col)):
+        own = slice(cut[i], cut[i + 1])
+        yield x[own], maximal_segments(x[own]), (s[own] - bounds[i], e[own] - bounds[i])
 
-def _scan(model: Model, b: pa.RecordBatch, text: str):
-    """For each row: number of words, segments, and the byte bounds of its words within the text."""
-    h, row, s, e, bounds = _tokens(b, text)
-    n = np.bincount(row, minlength=b.num_rows)
-    first = np.cumsum(n) - n
-    at = np.zeros(0, int)
-    if len(model.keys) and len(h):
-        k = np.minimum(np.searchsorted(model.keys, h), len(model.keys) - 1)
-        at = np.flatnonzero(model.keys[k] == h)
-        score = model.values[k[at]]
-    cut = np.searchsorted(row[at], np.arange(b.num_rows + 1)) if len(at) else np.zeros(b.num_rows + 1, int)
-    for i in range(b.num_rows):
-        lo, hi = cut[i], cut[i + 1]
-        found = maximal_segments(at[lo:hi] - first[i], score[lo:hi], model.drift) if hi > lo else []
-        yield int(n[i]), found, (s[first[i] : first[i] + n[i]] - bounds[i], e[first[i] : first[i] + n[i]] - bounds[i])
 
+def _class_counts(labelled: DataFrame, stems: np.ndarray | None) -> DataFrame:
+    """(hash, c00, c01, c10, c11): rows of each half and label that have a word, or a stem.
 
-def _class_counts(labelled: DataFrame) -> pa.Table:
-    """Counts of words in rows of each label: (hash, c0, c1); words of one row alone are left out."""
+    Without ``stems``: all words, and the stems of toxic rows. With them: those stems in clean rows.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in chunks(batch, "text"):
-                h, row, *_ = _tokens(b, "text")
-                toxic = b.column("toxic").to_numpy(zero_copy_only=False)[row] == 1
-                keys, inv = np.unique(h, return_inverse=True)
-                c1 = np.bincount(inv, weights=toxic, minlength=len(keys)).astype(np.int64)
-                c = np.bincount(inv, minlength=len(keys))
-                pairs = np.unique(np.stack([inv, row]), axis=1)[0] if len(inv) else inv
-                docs = np.bincount(pairs, minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c - c1), pa.array(c1), pa.array(docs)], names=["hash", "c0", "c1", "docs"])
-
-    counted = labelled.select("text", "toxic").mapInArrow(count, "hash long, c0 long, c1 long, docs long")
-    return counted.groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "docs")])
+                forms, row, *_ = _tokens(b.column("text"))
+                label, half = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "half"))
+                toxic = label[row] == 1
+                if stems is None:
+                    pairs = [(forms[0], row)] + [(f[toxic & (f != 0)], row[toxic & (f != 0)]) for f in forms[1:]]
+                else:
+                    own = [~toxic & np.isin(f, stems) for f in forms[1:]]
+                    pairs = [(f[o], row[o]) for f, o in zip(forms[1:], own, strict=True)]
+                key, of = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                o = np.lexsort((of, key))
+                o = o[np.r_[True, (key[o][1:] != key[o][:-1]) | (of[o][1:] != of[o][:-1])][: len(o)]]
+                keys, inv = np.unique(key[o], return_inverse=True)
+                kind = 2 * half[of[o]] + label[of[o]]
+                counts = [np.bincount(inv[kind == k], minlength=len(keys)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c) for c in counts)], names=["hash", "c00", "c01", "c10", "c11"])
+
+    counted = labelled.select("text", "toxic", "half").mapInArrow(count, "hash long, c00 long, c01 long, c10 long, c11 long")
+    return counted.groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11")])
+
+
+def _score(c0: Column, c1: Column, n0: int, n1: int, prior: float, z: float, margin: float) -> Column:
+    """The lower bound of the log-odds if above the margin, else the upper bound if below zero, else 0."""
+    p = F.lit(prior / max(n0 + n1, 1)) * (c0 + c1) + F.lit(0.05)
+    y0, y1 = c0 + p, c1 + p
+    odds = F.log(y1 / (n1 + prior + 1 - y1)) - F.log(y0 / (n0 + prior + 1 - y0))
+    sd = F.sqrt(1 / y0 + 1 / y1)
+    return F.when(odds - z * sd > margin, odds - z * sd).otherwise(F.least(F.lit(0.0), odds + sd))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -140,12 +164,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 4_096, prior: float = 100.0, z: float = 3.0, drift: float = 0.08, least_share: float = 0.02) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 10.0, z: float = 2.0, margin: float = 1.0, drift: float = 0.1) -> Model:
     """Fit on labelled rows: ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    ``max_rows`` bounds the labelled rows that are used (those of least hash of their ids),
-    ``max_words`` the words with a score. A word needs ``z`` standard deviations and must occur
-    in as many rows as ``least_share`` of the toxic ones. Rows with null ids, texts or labels teach
+    ``max_rows`` bounds the labelled rows that are used (those of least hash of their ids); the model's size is that of
+    their vocabulary. A score is a bound of log-odds, ``z`` standard deviations below them, and counts above ``margin``. Rows with null ids, texts or labels teach
     nothing. With no toxic or no clean row the model finds nothing and scores all texts alike.
     """
     chosen = (
@@ -153,67 +176,90 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     # at most max_rows narrow rows are broadcast
-    sample = written(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "labelled")
-    counts = _class_counts(sample)
-    n = counts.agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).first()
-    n0, n1 = float(n["c0"] or 0), float(n["c1"] or 0)
-    n_toxic = sample.where("toxic = 1").count()
+    known = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    sample = written(known.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled")
+    size = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = [[size.get((h, y), 0) for y in (0, 1)] for h in (0, 1)]
+    n0, n1 = n[0][0] + n[1][0], n[0][1] + n[1][1]
     if not n0 or not n1:
         drop(sample)
-        return Model(np.zeros(0, U), np.zeros(0), drift, a=-2.0 if not n1 else 2.0, b=0.0)
-    pr = 0.5 + prior * (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
-    y0, y1 = F.col("c0") + pr, F.col("c1") + pr
-    odds = F.log(y1 / (n1 + prior - y1)) - F.log(y0 / (n0 + prior - y0))
-    sd = F.sqrt(1 / y0 + 1 / y1)
-    top = (
-        counts.where(F.col("docs") >= max(5, least_share * n_toxic)).select("hash", "c0", odds.alias("odds"), sd.alias("sd"))
-        .where(F.col("odds") > z * F.col("sd")).orderBy(F.desc(F.col("odds") / F.col("sd")), "hash").limit(max_words).toPandas()
+        return Model(drift=drift, a=-2.0 if not n1 else 2.0, b=0.0)
+    counts = written(_class_counts(sample, None), "counts")
+    # a stem of one toxic row has no sure log-odds
+    stems = counts.where("c00 + c10 = 0 and c01 + c11 > 1").select("hash").toArrow().column(0).to_numpy().view(U)  # at most those of the labelled rows
+    every = counts.unionByName(_class_counts(sample, stems)).groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11")])
+    col = {c: F.col(c) for c in ("c00", "c01", "c10", "c11")}
+    scored = every.select(
+        "hash", _score(col["c00"] + col["c10"], col["c01"] + col["c11"], n0, n1, prior, z, margin).alias("all"),
+        *[_score(col[f"c{h}0"], col[f"c{h}1"], n[h][0], n[h][1], prior, z, margin).alias(f"half{h}") for h in (0, 1)],
     )
-    keys = top["hash"].to_numpy(np.int64).view(U)
+    table = scored.where("all <> 0 or half0 <> 0 or half1 <> 0").orderBy("hash").toArrow()
+    keys = table.column("hash").to_numpy().view(U)
     order = np.argsort(keys)
-    values = (top["odds"] - 2 * top["sd"]).to_numpy(float)[order]
-    model = Model(keys[order], values, drift)
-    share = (top["c0"].to_numpy(float)[order] + 0.5) / n0
-    model.lam = _karlin(values, share, drift)
-    fit = sample.mapInArrow(_best(model), "toxic int, n long, scores array<double>").toPandas()  # at most max_rows rows
-    drop(sample)
+    models = {c: Model(keys[order], table.column(c).to_numpy()[order], drift) for c in ("all", "half0", "half1")}
+    model = models["all"]
+    fit = sample.mapInArrow(_fitting(models["half1"], models["half0"]), "toxic int, n long, scores array<double>, steps array<long>, tokens array<long>").toPandas()  # at most max_rows rows
+    drop(sample, counts)
+    steps: dict[int, int] = {}
+    for at, tokens in zip(fit["steps"], fit["tokens"], strict=True):
+        for k, c in zip(at, tokens, strict=True):
+            steps[k] = steps.get(k, 0) + c
+    model.lam = _karlin(np.array(list(steps), float) * STEP, np.array(list(steps.values()), float))
     clean = fit[fit["toxic"] == 0]
-    tops = np.array([max(s, default=0.0) for s in clean["scores"]])
-    # the mean of exp(-lambda * max) over texts estimates K n for each: matched over clean rows
-    positive = tops > 0
-    model.k = float(max(positive.sum(), 1) / max(clean["n"].sum(), 1) * np.exp(model.lam * (tops[positive].min() if positive.any() else 0)))
-    x = np.array([model.evidence(int(n), [(0, 0, s) for s in scores]) for n, scores in zip(fit["n"], fit["scores"], strict=True)])
+    model.k = _censored_k(clean["n"].to_numpy(float), np.array([max(s, default=0.0) for s in clean["scores"]]), model.lam)
+    x = np.array([model.evidence(int(m), s) for m, s in zip(fit["n"], fit["scores"], strict=True)])
     model.a, model.b = _logistic(x, fit["toxic"].to_numpy(float))
     return model
 
 
-def _karlin(values: np.ndarray, share: np.ndarray, drift: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1 over clean words."""
-    if not len(values):
+def _karlin(score: np.ndarray, weight: np.ndarray) -> float:
+    """The positive root of sum p exp(lambda s) = 1 over clean tokens; 1 if none scores above zero."""
+    if not len(score) or score.max() <= 0 or (score * weight).sum() >= 0:
         return 1.0
-    rest = max(1 - share.sum(), 0.0)
-    f = lambda t: (share * np.exp(t * values)).sum() + rest * np.exp(-t * drift) - 1
-    lo, hi = 1e-6, 1e-6
-    while f(hi) <= 0 and hi < 100:
+    p = weight / weight.sum()
+    lo, hi = 0.0, 1.0
+    while (p * np.exp(hi * score)).sum() < 1 and hi < 50:
         hi *= 2
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) <= 0 else (lo, mid)
+        lo, hi = (mid, hi) if (p * np.exp(mid * score)).sum() < 1 else (lo, mid)
     return max(lo, 0.05)
 
 
-def _best(model: Model):
+def _censored_k(n: np.ndarray, top: np.ndarray, lam: float) -> float:
+    """Maximum likelihood of K, where P(greatest < s) = exp(-K n exp(-lambda s)); texts without a segment lie below 0."""
+    seen = top > 0
+    return float(max(seen.sum(), 0.5) / max((n * np.exp(-lam * np.where(seen, top, 0.0))).sum(), 1.0))
+
+
+def _fitting(first: Model, second: Model):
+    """Each row's segments by the model of the other half, and counts of clean tokens' scores."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in chunks(batch, "text"):
-                out = [(n, [s for *_, s in segs]) for n, segs, _ in _scan(model, b, "text")]
+                half, toxic = b.column("half").to_pylist(), b.column("toxic").to_pylist()
+                n, scores, clean = [], [], [np.zeros(0, np.int64)]
+                for h, y, one, two in zip(half, toxic, _scan(first, b.column("text")), _scan(second, b.column("text")), strict=True):
+                    x, segs, _ = two if h else one
+                    n.append(len(x))
+                    scores.append([s for *_, s in segs])
+                    if not y:
+                        clean.append(np.rint(x / STEP).astype(np.int64))
+                at, many = np.unique(np.concatenate(clean), return_counts=True)
+                empty = [[]] * (b.num_rows - 1)
+                kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("toxic").cast(pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.float64()))], names=["toxic", "n", "scores"]
+                    [pa.array(toxic, pa.int32()), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array([at.tolist(), *empty], kind), pa.array([many.tolist(), *empty], kind)],
+                    names=["toxic", "n", "scores", "steps", "tokens"],
                 )
 
     return run
 
 
+PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("e_value", T.DoubleType())]))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``predicted`` and ``passages``.
 
@@ -223,18 +269,20 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("score", "predicted", "passages")
     names = docs.columns
+    at = names.index(text)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in chunks(batch, text):
                 ev, spans = [], []
-                for n, segs, (s, e) in _scan(model, b, text):
-                    ev.append(model.evidence(n, segs))
-                    spans.append([{"start": int(s[i]), "end": int(e[j]), "score": v, "e_value": float(model.k * n * np.exp(-model.lam * v))} for i, j, v in segs if model.significant(n, v)])
+                for x, segs, (s, e) in _scan(model, b.column(at)):
+                    ev.append(model.evidence(len(x), [v for *_, v in segs]))
+                    found = [(i, j, v, model.expected(len(x), v)) for i, j, v in segs]
+                    spans.append([{"start": int(s[i]), "end": int(e[j]), "score": v, "e_value": w} for i, j, v, w in found if w < model.alpha])
                 p = model.probability(np.array(ev))
                 cols = [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, kind)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*names, "score", "predicted", "passages"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", score double, predicted int, passages array<struct<start: long, end: long, score: double, e_value: double>>")
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", PASSAGES)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
