@@ -5,8 +5,8 @@ language, its smoothed log frequency there. Any other word falls back to its cha
 4-grams (with marks at its ends); if none of them was seen, to its 3-grams, 2-grams, and
 single letters. A text's score is the sum over its words plus the languages' log priors.
 
-Training counts words and n-grams of a bounded sample of labelled rows on executors and keeps
-the most frequent ones, so the model's size has a bound whatever the input's.
+Training counts all words and n-grams of a bounded sample of labelled texts on executors, with an equal share for
+each language, so a rare language is there as well. The model is sparse: of each word, the languages that have it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.textbytes import U, chunks, mix, powers, ragged
 
@@ -86,19 +87,28 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                                 names=["lang", "n", "hash", "c"],
                             )
 
-    return labelled.select("text", "lang").mapInArrow(count, "lang string, n int, hash long, c long").groupBy("lang", "n", "hash").agg(F.sum("c").alias("c"))
+    return labelled.select("text", "lang").mapInArrow(count, "lang string, n int, hash long, c long").groupBy("hash", "n", "lang").agg(F.sum("c").alias("c"))
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language."""
+    """Log frequencies of words and n-grams in each language, where they were seen.
 
-    def __init__(self, langs: list[str], prior: np.ndarray, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.prior = langs, prior
-        self.tables = {}
-        for n, (keys, c) in counts.items():
-            total = c.sum(0)
-            alpha = 0.1
-            self.tables[n] = (keys, np.log((c + alpha) / (total + alpha * (len(keys) + 1))))
+    ``counts``: for each order the hashes, languages and counts of what was seen, in any order.
+    """
+
+    def __init__(self, langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], alpha: float = 0.1):
+        self.langs, self.tables, self.unseen = langs, {}, {}
+        for n, (keys, lang, c) in counts.items():
+            order = np.lexsort((lang, keys))
+            keys, lang, c = keys[order], lang[order], c[order].astype(float)
+            distinct, first = np.unique(keys, return_index=True)
+            total = np.bincount(lang, c, len(langs)) + alpha * (len(distinct) + 1)
+            #: Hashes, the bounds of their entries, and the entries: language and how much above an unseen one's score.
+            self.tables[n] = distinct, np.r_[first, len(keys)], lang, np.log((c + alpha) / alpha)
+            self.unseen[n] = np.log(alpha / total)
+            if n == 0:
+                share = np.bincount(lang, c, len(langs)) + 1
+                self.prior = np.log(share / share.sum())
 
     def _find(self, n: int, h: np.ndarray) -> np.ndarray:
         keys = self.tables[n][0]
@@ -107,27 +117,34 @@ class Model:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, at, -1)
 
+    def _add(self, n: int, at: np.ndarray, owner: np.ndarray, scores: np.ndarray) -> None:
+        """Add the scores of entries to the rows of their owners."""
+        _, bounds, lang, value = self.tables[n]
+        many = bounds[at + 1] - bounds[at]
+        entry = ragged(bounds[at], many)
+        np.add.at(scores, (np.repeat(owner, many), lang[entry]), value[entry])
+        scores += np.bincount(owner, minlength=len(scores))[:, None] * self.unseen[n]
+
     def word_scores(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Scores of the distinct words, and for each word which of them it is."""
         _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         scores = np.zeros((len(first), len(self.langs)))
         at = self._find(0, w.hash[first])
-        known = at >= 0
-        scores[known] = self.tables[0][1][at[known]]
-        left = np.flatnonzero(~known)
+        known = np.flatnonzero(at >= 0)
+        self._add(0, at[known], known, scores)
+        left = np.flatnonzero(at < 0)
         for n in ORDERS:
             if not len(left):
                 break
             h, owner = w.grams(first[left], n)
             at = self._find(n, h)
             hit = at >= 0
-            if hit.any():
-                sums = np.zeros((len(left), len(self.langs)))
-                np.add.at(sums, owner[hit], self.tables[n][1][at[hit]])
-                number = np.bincount(owner[hit], minlength=len(left))
-                done = number > 0
-                scores[left[done]] = sums[done] / number[done, None]
-                left = left[~done]
+            sums = np.zeros((len(left), len(self.langs)))
+            self._add(n, at[hit], owner[hit], sums)
+            number = np.bincount(owner[hit], minlength=len(left))
+            done = number > 0
+            scores[left[done]] = sums[done] / number[done, None]
+            left = left[~done]
         return scores, inverse
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -146,35 +163,22 @@ class Model:
         return [self.langs[k] if ok else "und" for k, ok in zip(best, has, strict=True)], np.where(has, p, 0.0)
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, max_words: int = 60_000, max_grams: int = 20_000) -> Model:
+def train(labelled: DataFrame, max_rows: int = 20_000) -> Model:
     """Fit on ``labelled(text, lang)``.
 
-    ``max_rows`` bounds the rows learned from (those of least hash of their texts);
-    ``max_words`` and ``max_grams`` bound what is kept for each language, most frequent first.
+    ``max_rows`` bounds the texts learned from, about an equal share of it for each language (those of least hash of
+    their texts; a language with fewer texts gives all). A repeated text teaches once for each of its languages. Everything in
+    those texts is kept. Rows with a null text or language teach nothing.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    total = labelled.count()
-    if total > max_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
-    counted, kept = count_grams(labelled), F.when(F.col("n") == 0, max_words).otherwise(max_grams)
-    for key in (["lang", "n", F.pmod("hash", F.lit(64))], ["lang", "n"]):  # the best of each part first, so no task ranks all
-        best = Window.partitionBy(*key).orderBy(F.desc("c"), "hash")
-        part = kept / 16 if len(key) == 3 else kept
-        counted = counted.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= part).drop("_rank")
-    rows = counted.toArrow()  # bounded by the parameters above
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))  # a row for each language
+    each = sizes.withColumn("share", F.lit(max_rows) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / F.col("n")).select("lang", (F.col("share") * float(1 << 40)).alias("below"))
+    chosen = labelled.join(F.broadcast(each), "lang").where(place <= F.col("below")).groupBy("text", "lang").count().select("text", "lang")
+    rows = count_grams(chosen).toArrow()  # what max_rows texts hold
     lang, n, key, c = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("lang", "n", "hash", "c"))
-    langs = sorted(set(lang))
-    index = {x: k for k, x in enumerate(langs)}
-    code = np.array([index[x] for x in lang], int)
-    counts = {}
-    for order in (0, *ORDERS):
-        own = n == order
-        keys, inverse = np.unique(key[own].view(U) if own.any() else np.zeros(0, U), return_inverse=True)
-        table = np.zeros((len(keys), len(langs)))
-        table[inverse, code[own]] = c[own]
-        counts[order] = (keys, table)
-    share = np.array([c[(code == k) & (n == 0)].sum() for k in range(len(langs))], float) + 1
-    return Model(langs, np.log(share / share.sum()) if len(langs) else share, counts)
+    langs, code = np.unique(lang.astype(str), return_inverse=True) if len(lang) else (np.zeros(0, str), np.zeros(0, int))
+    return Model(langs.tolist(), {order: (key[n == order].view(U), code[n == order], c[n == order]) for order in (0, *ORDERS)})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -193,5 +197,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 pred, score = model.predict(b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(run, schema)
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
