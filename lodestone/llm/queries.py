@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, interpolation, jaccard, langid, packing, repeats, sharding, simhash, tokenfile, toxicity
-from lodestone.session import ship, table
+from lodestone.session import ship, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,7 +82,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints of texts and edits; for ids divisible by 20, how many others lie within 3 bits (``n_near``)."""
+    rows = written(simhash.edited_fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    return simhash.with_neighbours(rows, F.col("doc_id") % 20 == 0, 3)
 
 
 def _shipped(query: Query) -> Query:

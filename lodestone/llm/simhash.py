@@ -7,7 +7,9 @@ summed in byte lanes of 64-bit words, 8 bits at an addition.
 
 Search: a fingerprint is cut into radius + 1 blocks. Two within the radius agree in at least
 one whole block, so tables keyed by each block (the permuted tables) find all of them.
-A pair is verified where its first common block meets, so no pair comes twice.
+A pair is verified where its first common block meets, so no pair comes twice; that and the distance are conditions of the join,
+which gives no other pairs. A block value that many fingerprints share is parted by a second hash: its fingerprints are spread,
+and queries go to each part.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.textbytes import U, chunks, column_bytes, mix, prefix, span_hash, words
 
@@ -77,31 +80,57 @@ def fingerprints(docs: DataFrame, text: str = "text", bits: int = BITS) -> DataF
             for b in chunks(batch, text):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hexes(fingerprint_column(b.column(at), bits)), pa.string())], names=[*names, "fingerprint"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", fingerprint string")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
-def neighbours(queries: DataFrame, index: DataFrame, radius: int, bits: int = BITS) -> DataFrame:
+def neighbours(queries: DataFrame, index: DataFrame, radius: int, bits: int = BITS, per_part: int = 10_000) -> DataFrame:
     """All pairs of distinct fingerprints of two tables within a Hamming radius.
 
-    Both tables have a ``fingerprint``; the result is (query, found, distance), once for each
-    pair of values, so copies of a fingerprint make no pairs of their own: join the
-    values back to see their rows. Equal values are found at distance 0.
+    Both tables have a ``fingerprint``; the result is (query, found, distance, n_found), once for each
+    pair of values, so copies of a fingerprint make no pairs of their own: n_found says how many rows of the index
+    have it. Equal values are found at distance 0; null fingerprints are left out. ``per_part`` bounds the
+    fingerprints of a block value that stay together.
     """
-    blocks = radius + 1
+    blocks, n_words = radius + 1, bits // 64
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
-        words_ = F.array(*[F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long") for i in range(bits // 64)])
         as_bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 8 * i + 1, 8), 16, 2), 32, "0") for i in range(bits // 32)])
-        df = df.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-        df = df.select(F.col("fingerprint").alias(name), words_.alias(f"{name}_w"), as_bits.alias("b"))
-        keys = [F.substring("b", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
-        return df.select(name, f"{name}_w", F.array(*keys).alias(f"{name}_k"), F.posexplode(F.array(*keys)).alias("block", "key"))
-
-    pairs = prepared(queries, "query").join(prepared(index, "found"), ["block", "key"])
-    first = F.expr("array_position(zip_with(query_k, found_k, (x, y) -> x = y), true) = block + 1")
-    distance = F.expr("aggregate(zip_with(query_w, found_w, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
-    return pairs.where(first).select("query", "found", distance.alias("distance")).where(F.col("distance") <= radius)
+        df = df.where(F.col("fingerprint").isNotNull()).groupBy("fingerprint").agg(F.count(F.lit(1)).alias(f"{name}_n"))
+        words_ = [F.conv(F.substring("fingerprint", 16 * i + 1, 16), 16, -10).cast("long").alias(f"{name}_{i}") for i in range(n_words)]
+        keys = F.transform(F.array(*[F.substring(as_bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]), lambda x: F.xxhash64(x) if bits // blocks >= 63 else F.conv(x, 2, 10).cast("long"))
+        return df.select(*words_, f"{name}_n", F.posexplode(keys).alias("block", "key"))
+
+    found, query = prepared(index, "found"), prepared(queries, "query")
+    large = found.groupBy("block", "key").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    found = found.join(large, ["block", "key"], "left").withColumn("part", F.pmod(F.xxhash64(*[f"found_{i}" for i in range(n_words)]), parts).cast("int")).drop("parts")
+    query = query.join(large, ["block", "key"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    apart = [F.col(f"query_{i}").bitwiseXOR(F.col(f"found_{i}")) for i in range(n_words)]
+    distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    first = F.lit(True)
+    for k in range(blocks - 1):  # no earlier block is common
+        mask = sum(1 << (bits - 1 - b) for b in range(edges[k], edges[k + 1]))
+        differs = F.lit(False)
+        for i, x in enumerate(apart):
+            own = mask >> (64 * (n_words - 1 - i)) & ((1 << 64) - 1)
+            differs = differs | (x.bitwiseAND(F.lit(signed(own))) != 0) if own else differs
+        first = first & ((query["block"] <= k) | differs)
+    on = (query["block"] == found["block"]) & (query["key"] == found["key"]) & (query["part"] == found["part"]) & first & (distance <= radius)
+    text = lambda name: F.lower(F.concat(*[F.lpad(F.hex(f"{name}_{i}"), 16, "0") for i in range(n_words)]))
+    return query.join(found, on).select(text("query").alias("query"), text("found").alias("found"), distance.cast("int").alias("distance"), F.col("found_n").alias("n_found"))
+
+
+def with_neighbours(rows: DataFrame, is_query: Column, radius: int, bits: int = BITS) -> DataFrame:
+    """``rows`` (with a ``fingerprint``) and ``n_near``: of a query row, how many other rows lie within the radius; else null.
+
+    ``rows`` is read several times, so it should be a written table. Rows with a null query flag are no queries.
+    """
+    asked = rows.where(is_query)
+    near = neighbours(asked.select("fingerprint"), rows.select("fingerprint"), radius, bits).groupBy("query").agg((F.sum("n_found") - 1).alias("n_near"))
+    answered = asked.join(near.withColumnRenamed("query", "fingerprint"), "fingerprint", "left").select(*[F.col(f"`{c}`") for c in rows.columns], "n_near")
+    return rows.where(~F.coalesce(is_query, F.lit(False))).withColumn("n_near", F.lit(None).cast("long")).unionByName(answered)
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
