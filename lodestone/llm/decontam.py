@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.textbytes import U, chunks, column_bytes, prefix, ragged, span_hash, words
 from lodestone.session import drop, written
@@ -232,6 +233,7 @@ def _leaks(index: Index, overlap: float, column: pa.Array) -> list[list[dict]]:
     return [[x[k][1] for k in sorted(x)] for x in out]
 
 
+LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))]))
 LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
@@ -299,8 +301,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least:
                         cols[earlier] = pa.array([x + y for x, y in zip(cols[earlier].to_pylist(), found, strict=True)], pa.list_(LEAK))
                         yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        found = out.mapInArrow(run, schema + ", leaks array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>")
+        found = out.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("leaks", LEAKS)]))
         if part + 1 < parts:
             before, out = out, written(found, "leaks")
             index.destroy()

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.graph import components
 from lodestone.llm.textbytes import U, chunks, column_bytes, mix, prefix, ragged, span_hash, words
@@ -355,8 +356,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, s
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_keys(b.column(at)), pa.string())], names=[*names, "_class_key"])
 
     bare = ~F.coalesce("text", F.lit("")).rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.where(~bare).mapInArrow(name, schema + ", _class_key string")
+    keyed = docs.where(~bare).mapInArrow(name, T.StructType([*docs.schema.fields, T.StructField("_class_key", T.StringType())]))
     every = [F.col(f"`{c}`") for c in names]
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*every))
     kept = keyed.groupBy("_class_key").agg(F.min_by(F.struct(*every), rank).alias("r"))  # a partition sends a row of each text at most

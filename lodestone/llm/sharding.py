@@ -103,36 +103,46 @@ def uniform_shards(
 
     Shard sizes differ by one at most. ``key`` names the columns whose values
     randomise a row (default: all); rows equal in them all are interchangeable.
-    Nulls are ordinary values; an empty table gives an empty table; columns of
-    df named like this function's helpers are kept (helpers are prefixed ``_hg_``).
-    Existing columns named ``shard_col``/``slot_col`` are replaced.
+    Nulls are ordinary values; an empty table gives an empty table; helper columns get names that
+    df doesn't have. Existing columns named ``shard_col``/``slot_col`` are replaced.
     """
     df = df.drop(shard_col, slot_col)
+    own = "_hg"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
     cols = [F.col(f"`{c}`") for c in (key or df.columns)]
     levels = max(10, min(22, (max(1, df.count() // rows_per_partition)).bit_length()))
     hashed: Column = F.xxhash64(F.lit(seed), *cols)
-    base = df.withColumn("_hg_part", F.pmod(hashed, F.lit(1 << levels)))
-    counts = base.groupBy(F.col("_hg_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    base = df.withColumn(f"{own}_part", F.pmod(hashed, F.lit(1 << levels)))
+    counts = base.groupBy(F.col(f"{own}_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     take = communication_matrix(counts, shards, levels, seed).select(
-        F.col("part").alias("_hg_part"),
-        F.expr("transform(sequence(1, size(take)), i -> aggregate(slice(take, 1, i), 0L, (x, y) -> x + y)) as _hg_ends"),
+        F.col("part").alias(f"{own}_part"),
+        F.expr(f"transform(sequence(1, size(take)), i -> aggregate(slice(take, 1, i), 0L, (x, y) -> x + y)) as {own}_ends"),
     )
-    ranked = base.withColumn("_hg_rank", F.row_number().over(Window.partitionBy("_hg_part").orderBy(F.xxhash64(F.lit(seed + 1), *cols), *cols)))
-    sent = ranked.join(take.hint("merge"), "_hg_part").withColumn(shard_col, F.expr("size(filter(_hg_ends, x -> x < _hg_rank))"))
+    ranked = base.withColumn(f"{own}_rank", F.row_number().over(Window.partitionBy(f"{own}_part").orderBy(F.xxhash64(F.lit(seed + 1), *cols), *cols)))
+    sent = ranked.join(take.hint("merge"), f"{own}_part").withColumn(shard_col, F.expr(f"size(filter({own}_ends, x -> x < {own}_rank))"))
     pieces = max(1, (1 << levels) // shards)
-    sent = sent.drop("_hg_part", "_hg_ends", "_hg_rank").withColumn("_hg_key", F.xxhash64(F.lit(seed + 2), *cols))
-    sent = sent.withColumn("_hg_piece", F.pmod(F.shiftrightunsigned("_hg_key", 3), F.lit(pieces)))
+    sent = sent.drop(f"{own}_part", f"{own}_ends", f"{own}_rank").withColumn(f"{own}_key", F.xxhash64(F.lit(seed + 2), *cols))
+    sent = sent.withColumn(f"{own}_piece", F.pmod(F.shiftrightunsigned(f"{own}_key", 3), F.lit(pieces)))
     sent = written(sent, "sharding")  # read twice below: counted, then ranked
-    by_piece = [F.col(shard_col), F.col("_hg_piece")]
+    by_piece = [F.col(shard_col), F.col(f"{own}_piece")]
     offsets = (
         sent.groupBy(*by_piece).agg(F.count(F.lit(1)).alias("n"))
-        .select(*by_piece, (F.sum("n").over(Window.partitionBy(shard_col).orderBy("_hg_piece")) - F.col("n")).alias("_hg_before"))
+        .select(*by_piece, (F.sum("n").over(Window.partitionBy(shard_col).orderBy(f"{own}_piece")) - F.col("n")).alias(f"{own}_before"))
     )
-    local = sent.withColumn("_hg_rank", F.row_number().over(Window.partitionBy(*by_piece).orderBy("_hg_key", *cols)))
-    out = local.join(offsets.hint("merge"), [shard_col, "_hg_piece"])
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(shard_col), (F.col("_hg_before") + F.col("_hg_rank") - 1).alias(slot_col))
+    local = sent.withColumn(f"{own}_rank", F.row_number().over(Window.partitionBy(*by_piece).orderBy(f"{own}_key", *cols)))
+    out = local.join(offsets.hint("merge"), [shard_col, f"{own}_piece"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(shard_col), (F.col(f"{own}_before") + F.col(f"{own}_rank") - 1).alias(slot_col))
 
 
-def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard", slot_col: str = "slot") -> None:
-    """Write each shard as files of its own, in the order of its slots."""
-    sharded.repartition(F.col(shard_col)).sortWithinPartitions(shard_col, slot_col).write.partitionBy(shard_col).parquet(path)
+def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1, shard_col: str = "shard", slot_col: str = "slot") -> None:
+    """Write each shard as files of its own, whose names ascend with the slots that they hold.
+
+    A shard is cut into ``files_per_shard`` ranges of slots, a task each, so no task holds a whole shard of a large corpus.
+    """
+    last = sharded.groupBy(shard_col).agg((F.max(slot_col) + 1).alias("_n"))  # a row for each shard
+    piece = F.floor(F.col(slot_col) * files_per_shard / F.col("_n"))
+    shards = max(1, last.count())
+    placed = sharded.join(F.broadcast(last), shard_col).withColumn("_piece", piece).drop("_n")
+    placed = placed.repartitionByRange(shards * files_per_shard, shard_col, "_piece").sortWithinPartitions(shard_col, slot_col)
+    placed.drop("_piece").write.partitionBy(shard_col).parquet(path)
