@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import packing, simhash, tokenfile, tokens
 from lodestone.llm.queries import vocabulary
@@ -166,11 +168,61 @@ def test_simhash(spark):
     assert simhash.edited_fingerprints(docs(spark, [])).count() == 0
 
 
-def test_neighbours_against_brute_force(spark):
+def test_fingerprints_against_a_direct_program(spark):
+    """Every term's votes on every bit, one by one; likeness from the bits that differ; rows within three bits by all pairs."""
+    from lodestone.llm.textbytes import mix, prefix, span_hash
+
+    r = random.Random(4)
+    words_ = [f"w{i}" + "x" * r.randint(0, 12) for i in range(30)]
+    base = [" ".join(r.choice(words_) for _ in range(r.choice([0, 1, 5, 90, 300]))) for _ in range(60)]
+    texts = base + [t.replace("w1 ", "w2 ") for t in base] + base[:9]
+    ids = list(range(0, 20 * len(texts), 20))[: len(texts) // 2]
+    ids += [i + 1 for i in range(len(texts) - len(ids))]
+
+    def fingerprint(text):
+        h = {}
+        for w in set(text.split()):
+            b = np.frombuffer(w.encode(), np.uint8)
+            h[w] = span_hash(prefix(b, lower=True), np.array([0]), np.array([len(b)]))
+        votes, before, long_ = [0] * 128, simhash._START, 0
+        for w in text.split():
+            term = mix(np.array([before], np.uint64) * np.uint64(3) + h[w])
+            weight = min(3, 1 + (len(w) + long_) // 8)
+            for k in range(2):
+                hashed = mix(term + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).tobytes()
+                for byte in range(8):
+                    for bit in range(8):
+                        votes[64 * k + 8 * byte + bit] += weight if hashed[byte] >> (7 - bit) & 1 else -weight
+            before, long_ = h[w][0], len(w)
+        return sum(1 << (127 - k) for k, v in enumerate(votes) if v > 0)
+
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    rows = simhash.edited_fingerprints(df).cache()
+    got = {x["doc_id"]: x for x in simhash.with_neighbours(rows, F.col("doc_id") % 20 == 0, 3).collect()}
+    own = dict(zip(ids, map(fingerprint, texts), strict=True))
+    order = sorted(ids, reverse=True)
+    text = dict(zip(ids, texts, strict=True))
+    for k, i in enumerate(order):
+        after = text[order[(k + 1) % len(order)]]
+        cut = len(text[i]) // 3
+        edited = fingerprint(text[i][: len(text[i]) - cut] + after[:cut])
+        x = got[i]
+        assert (int(x["fingerprint"], 16), int(x["edited_fingerprint"], 16), x["n_chars"]) == (own[i], edited, len(text[i]))
+        for name, other in (("near_edited", edited), ("near_next", own[order[(k + 1) % len(order)]])):
+            assert abs(x[name] - max(0.0, math.cos(math.pi * (own[i] ^ other).bit_count() / 128))) < 1e-12
+        assert x["n_near"] == (sum((own[i] ^ v).bit_count() <= 3 for v in own.values()) - 1 if i % 20 == 0 else None)
+    assert any(x["n_near"] for x in got.values())
+
+
+@pytest.mark.parametrize("per_part", [10_000, 2])
+def test_neighbours_against_brute_force(spark, per_part):
     r = random.Random(3)
     base = [r.getrandbits(128) for _ in range(20)]
     values = base + [b ^ sum(1 << r.randrange(128) for _ in range(r.randint(1, 6))) for b in base]
-    df = spark.createDataFrame([(f"{v:032x}",) for v in values], "fingerprint string")
-    got = {(x["query"], x["found"], x["distance"]) for x in simhash.neighbours(df, df, 4).collect()}
-    want = {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in values for b in values if (a ^ b).bit_count() <= 4}
-    assert got == want
+    values += [values[0] ^ 1 << k for k in range(0, 128, 5)]  # blocks that many share
+    df = spark.createDataFrame([(f"{v:032x}",) for v in [*values, values[3]]] + [(None,)], "fingerprint string")
+    for radius in (0, 1, 4):
+        got = [(x["query"], x["found"], x["distance"], x["n_found"]) for x in simhash.neighbours(df, df, radius, per_part=per_part).collect()]
+        kinds = set(values)
+        want = [(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count(), 2 if b == values[3] else 1) for a in kinds for b in kinds if (a ^ b).bit_count() <= radius]
+        assert sorted(got) == sorted(want)

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def test_shards_are_exact_and_uniform(spark):
     assert abs(np.corrcoef([r["id"] for r in out], [r["slot"] for r in out])[0, 1]) < 0.06
 
 
+def test_sharding_keeps_columns_of_any_name(spark):
+    df = spark.range(500).selectExpr("id", "id as _hg_part", "id as _HG_rank", "id as _hg_ends", "id as n", "id as take", "id as part", "id as level")
+    out = sharding.uniform_shards(df, 7)
+    assert out.columns == [*df.columns, "shard", "slot"] and out.where("_hg_part = id and _HG_rank = id and part = id").count() == 500
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    out = sharding.uniform_shards(spark.range(5000), 5)
+    sharding.write_shards(out, f"{tmp_path}/s", 4)
+    for k in range(5):
+        files = sorted((tmp_path / "s" / f"shard={k}").glob("part-*"))
+        slots = [v for f in files for v in pq.read_table(f, partitioning=None).column("slot").to_pylist()]
+        assert len(files) > 1 and slots == list(range(1000))
+
+
 def test_sharding_of_odd_rows(spark):
     assert sharding.uniform_shards(docs(spark), 4).groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
     assert sharding.uniform_shards(docs(spark, []), 4).count() == 0
@@ -463,34 +480,66 @@ def test_scoring_of_odd_rows(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = queries()["op1_toxicity"](spark, sf).collect()
-    text = {d["doc_id"]: d["text"].lower() for d in table(sf, "documents")}
-    telling = re.compile(r"\b(idiot|moron|trash|scum|worthless|pathetic|stupid|loser|disgusting|clown)\b")
-    held = [(bool(telling.search(text[r["doc_id"]])), r["predicted"] == 1) for r in rows if r["held_out"]]
-    assert len(rows) == len(text) and all(0 <= r["score"] <= 1 for r in rows)
-    assert sum(a == b for a, b in held) / len(held) > 0.95
+    """Against the labels themselves, on rows that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in queries()["op1_toxicity"](spark, sf).collect()}
+    assert len(rows) == len(table(sf, "documents")) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())
+    held = [(x["toxic"], rows[x["doc_id"]]["predicted"]) for x in table(sf, "labels") if rows[x["doc_id"]]["held_out"]]
+    toxic, clean = [p for y, p in held if y], [p for y, p in held if not y]
+    assert sum(toxic) / len(toxic) > 0.9 and 1 - sum(clean) / len(clean) > 0.98
+
+
+def test_toxicity_scores_against_a_direct_program(spark):
+    """With a fixed model, scores are those of a plain program over decoded words."""
+    words = ["bad", "worsening", "worse", "good", "plain"]
+    h = {w: int(toxicity._tokens(pa.array([w]))[0][0][0]) for w in words}
+    stem = int(toxicity._tokens(pa.array(["worsex"]))[0][1][0])
+    value = {h["bad"]: 2.5, stem: 1.75, h["worse"]: -0.5, h["good"]: -0.25}
+    keys = np.array(sorted(value), np.uint64)
+    model = toxicity.Model(keys, np.array([value[int(k)] for k in keys]), 0.125, lam=0.8, k=0.02, a=-3.0, b=0.7)
+    r = random.Random(1)
+    rows = [(i, " ".join(r.choice([*words, "other"]) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(60, None)]
 
+    def token(w):
+        return {"bad": 2.5, "worsening": 1.75, "worse": 1.75, "good": -0.375}.get(w, -0.125)
 
-def test_segments_against_brute_force():
+    for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        s = [token(w) for w in (x["text"] or "").split()]
+        segs = brute_segments(s, 0, len(s))
+        odds = sum(math.exp(0.8 * v) / (0.02 * len(s)) for *_, v in segs)
+        want = 1 / (1 + math.exp(3.0 - 0.7 * math.log(1 + odds)))
+        assert abs(x["score"] - want) < 1e-9
+        assert len(x["passages"]) == sum(0.02 * len(s) * math.exp(-0.8 * v) < 0.05 for *_, v in segs)
+
+
+def test_extreme_value_law():
+    """K by maximum likelihood: drawn greatest scores give back the law they were drawn from."""
+    r = np.random.Generator(np.random.PCG64(1))
+    n, lam, k = r.integers(50, 500, 40_000).astype(float), 0.9, 0.004
+    top = np.maximum(0, (np.log(k * n) - np.log(r.exponential(size=40_000))) / lam)
+    assert abs(toxicity._censored_k(n, top, lam) / k - 1) < 0.03
+    score, p = np.array([-0.5, 1.0]), np.array([0.8, 0.2])
+    assert abs((p * np.exp(toxicity._karlin(score, p) * score)).sum() - 1) < 1e-9
+
+
+def brute_segments(x, lo, hi):
     """Maximal segments by the definition: split at the best segment, again and again."""
+    top = None
+    for i in range(lo, hi):
+        total = 0.0
+        for j in range(i, hi):
+            total += x[j]
+            if total > 1e-12 and (top is None or total > top[2] + 1e-9):
+                top = (i, j, total)
+    return [] if top is None else brute_segments(x, lo, top[0]) + [top] + brute_segments(x, top[1] + 1, hi)
 
-    def best(x, lo, hi):
-        top = None
-        for i in range(lo, hi):
-            total = 0.0
-            for j in range(i, hi):
-                total += x[j]
-                if total > 1e-12 and (top is None or total > top[2] + 1e-9):
-                    top = (i, j, total)
-        return [] if top is None else best(x, lo, top[0]) + [top] + best(x, top[1] + 1, hi)
 
+def test_segments_against_brute_force():
     for seed in range(60):
         r = random.Random(seed)
-        x = [r.choice([-0.37, -0.37, -0.37, 0.5 + r.random()]) for _ in range(25)]
-        at = np.array([i for i, v in enumerate(x) if v > 0], int)
-        got = toxicity.maximal_segments(at, np.array([x[i] for i in at]), 0.37)
-        want = best(x, 0, len(x))
+        x = [r.choice([-0.37, -0.37 - r.random(), -0.37, 0.5 + r.random()]) for _ in range(25)]
+        got = toxicity.maximal_segments(np.array(x))
+        want = brute_segments(x, 0, len(x))
         assert [(a, b) for a, b, _ in sorted(got)] == [(a, b) for a, b, _ in want]
         assert np.allclose([s for *_, s in sorted(got)], [s for *_, s in want])
 
@@ -511,6 +560,50 @@ def test_language_held_out(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) > 0.97
 
 
+def test_language_scores_against_a_direct_program(spark):
+    """Word first, then the longest n-grams that were seen, by counts in dictionaries."""
+    r = random.Random(5)
+    roots = {"aa": ["bana", "kolo", "mi"], "bb": ["stern", "kolo", "ü"], "cc": ["zzt", "qu"]}
+    word = lambda lang: "".join(r.choice(roots[lang]) for _ in range(r.randint(1, 2)))
+    rows = [(i, " ".join(word(lang) for _ in range(r.randint(1, 30))), lang) for i, lang in enumerate(r.choices(list(roots), [5, 4, 1], k=120))]
+    rows += [(200, rows[0][1], rows[0][2])]  # a repeated text teaches once
+    asked = [(300 + k, " ".join("".join(r.choice("banakolstern") for _ in range(r.randint(1, 6))) for _ in range(5))) for k in range(40)] + [(400, "X"), (401, "?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.identify(spark.createDataFrame([*[y[:2] for y in rows], *asked], "doc_id long, text string"), langid.train(df)).collect()}
+
+    def grams(w, n):
+        return [(w[k : k + n], k == 0, k + n == len(w)) if n > 1 else w[k] for k in range(len(w) - n + 1)]
+
+    c = {n: {lang: Counter() for lang in roots} for n in (0, 4, 3, 2, 1)}
+    for text, lang in {y[1:] for y in rows}:
+        for w in text.split():
+            c[0][lang][w] += 1
+            for n in (4, 3, 2, 1):
+                c[n][lang].update(grams(w, n))
+    kinds = {n: set().union(*c[n].values()) for n in c}
+    logf = lambda n, lang, g: math.log((c[n][lang][g] + 0.1) / (sum(c[n][lang].values()) + 0.1 * (len(kinds[n]) + 1)))
+    size = {lang: sum(c[0][lang].values()) + 1 for lang in roots}
+    for i, text in [*[y[:2] for y in rows], *asked]:
+        found = re.findall("[a-zü]+", text.lower())
+        total = {lang: math.log(size[lang] / sum(size.values())) for lang in roots}
+        for w in found:
+            for n in (0, 4, 3, 2, 1):
+                seen = [g for g in ([w] if n == 0 else grams(w, n)) if g in kinds[n]]
+                if seen:
+                    for lang in roots:
+                        total[lang] += sum(logf(n, lang, g) for g in seen) / len(seen)
+                    break
+        best = max(total.values())
+        want = 1 / sum(math.exp(v - best) for v in total.values()) if found else 0.0
+        assert abs(got[i]["score"] - want) < 1e-9 and (not found or total[got[i]["lang_pred"]] > best - 1e-9)
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(f"plain words number {i}", "en") for i in range(3000)] + [("übrige wörter", "de")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), max_rows=50)
+    assert model.langs == ["de", "en"] and len(model.tables[0][0]) < 60
+
+
 def test_language_of_odd_rows(spark):
     model = langid.train(docs(spark))
     got = {(r["doc_id"], r["text"]): r for r in langid.identify(docs(spark).withColumn("score", F.lit("clash")), model).collect()}

@@ -3,14 +3,17 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import toxicity
 from lodestone.llm.queries import held_out
 from lodestone.session import table, written
+from tests.llm.common import ROWS, docs
 from tests.llm.test_corpus_operators import brute_join, brute_repeats
 
 SF = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +28,7 @@ def kept(spark):
 def test_stages_and_columns(kept):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "suffix_dedup", "decontamination", "packing"]
     for rows in kept[:5]:
-        assert list(rows[0].asDict()) == corpus_pipeline.COLUMNS
+        assert list(rows[0].asDict()) == COLUMNS
 
 
 def test_toxic_documents_go(spark, kept):
@@ -67,3 +70,32 @@ def test_all_that_is_left_is_packed(kept):
             assert start == at
             at += length
         assert at <= 2048
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Odd rows, with columns whose names the operators use themselves, through every stage."""
+    sf = str(tmp_path_factory.mktemp("odd"))
+    near = " ".join(f"word{i}" for i in range(60))
+    rows = [*ROWS, *ROWS[:3], (None, near, "en", "a", 1), (None, near, "en", "a", 1), (7, near + " more", "en", "z", 1)]
+    names = ["score", "predicted", "passages", "leaks", "kept", "spans", "n_bytes", "key", "row", "class_id"]
+    table(spark, SF, "labels").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "yes")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    df = docs(spark, rows).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    out = [df]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(written(stage(spark, out[-1], sf), name))
+        empty = stage(spark, written(out[-2].limit(0), "none"), sf)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == df.columns)
+    return [x.collect() for x in out], df.columns
+
+
+def test_odd_rows_and_clashing_columns(odd):
+    kept, names = odd
+    assert all(list(rows[0].asDict()) == names and all(r[n] == f"own {n}" for r in rows for n in names[5:]) for rows in kept[:5])
+    assert [len(x) for x in kept[:2]] == [15, 15]  # nothing is toxic
+    one = sorted((str(r["doc_id"]), (r["text"] or "")[:12]) for r in kept[2])
+    # of the copies and near copies one each; texts without a word stay
+    assert one == sorted([("1", "The cat sat "), ("2", ""), ("2", ""), ("3", ""), ("3", ""), ("None", "A row withou"), ("6", "lorem ipsum "), ("7", "Straße über "), ("7", "word0 word1 "), ("8", "?!")])
+    assert len(kept[3]) == len(kept[4]) == len(one)  # one-word items give nothing away
+    assert len({(r["sequence_id"], r["offset"]) for r in kept[5]}) == len(kept[5]) >= len(one)
