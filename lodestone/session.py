@@ -30,13 +30,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a local session, as in tests) a folder under ``/tmp`` is chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session is a local one (as in
+    tests), whose executors are this machine, a folder under ``/tmp`` is used; a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file:///tmp/lodestone-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
