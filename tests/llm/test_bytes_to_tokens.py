@@ -177,7 +177,7 @@ def test_fingerprints_against_a_direct_program(spark):
     base = [" ".join(r.choice(words_) for _ in range(r.choice([0, 1, 5, 90, 300]))) for _ in range(60)]
     texts = base + [t.replace("w1 ", "w2 ") for t in base] + base[:9]
     ids = list(range(0, 20 * len(texts), 20))[: len(texts) // 2]
-    ids += [i + 1 for i in range(len(texts) - len(ids))]
+    ids += [20 * i + 7 for i in range(len(texts) - len(ids))]
 
     def fingerprint(text):
         h = {}
