@@ -7,9 +7,12 @@ Windows are thus parted by their anchors' hashes, without loss.
 
 *Verdicts.* Blocks of documents send each distinct (anchor, support) once to a bucket of the
 anchor. An anchor met once is left alone. Of equal supports all but the first go wholly.
-Supports that share an anchor but differ meet in suffix arrays.
+Supports that share an anchor but differ meet in suffix arrays. An anchor with very many of those is *hot*:
+its windows are parted once more, by their own hashes, and go to as many tasks as there are; a block
+sends each of its distinct windows once.
 
-*Suffix arrays.* For each such anchor, the distinct supports (each at its first place) are one text;
+*Suffix arrays.* For each such anchor, the distinct supports (each at its first place) are one text (for a hot one:
+its windows of one hash);
 its suffix array is made by linear grouping (see :mod:`suffixes`). Neighbours in it that
 agree in ``length`` bytes are one window; all but its first place go.
 
@@ -20,24 +23,25 @@ of anchors and supports together have 96 bits or more; suffix arrays compare byt
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.suffixes import suffix_arrays
-from lodestone.llm.textbytes import U, chunks, column_bytes, pack, prefix, ragged, span_hash, unpack
+from lodestone.llm.textbytes import U, chunks, column_bytes, mix, pack, prefix, ragged, span_hash, unpack
 from lodestone.session import written
 
 GRAM = 64
 _LOW = U((1 << 48) - 1)
-#: An anchor with more distinct supports than this is split by its windows' hashes.
+#: An anchor with more distinct supports than this is hot.
 HOT = 400
 #: Symbols in one lot of suffix arrays.
 LOT = 400_000
@@ -111,22 +115,48 @@ class Block:
         return sorted((r["bucket"], r["out"]) for r in rows if r["stage"] == stage)
 
     def marks(self, rows: list[dict]) -> np.ndarray:
-        """0, 1 (all windows go) or 2 (look closer) for each distinct support."""
+        """0, 1 (all windows go), 2 (look closer) or 3 (look closer, by windows) for each distinct support."""
         out = np.zeros(len(self.o), np.uint8)
         for bucket, packed in self.verdicts(rows, 1):
             out[self.cut[bucket] : self.cut[bucket + 1]] = unpack(packed)
         return out
 
-    def closer(self, marks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct supports to look at, by the second buckets; and the bounds of those."""
-        which = np.flatnonzero(marks == 2)
-        bucket = (self.low[which] % U(buckets)).astype(np.int64)
+    def pieces(self, marks: np.ndarray, buckets: int) -> Pieces:
+        """What to look at: supports, and distinct windows of hot anchors; by the second buckets."""
+        length = self.length
+        two, three = self.o[marks == 2], self.o[marks == 3]
+        many = self.hi[three] - self.lo[three] + 1
+        start, anchor = ragged(self.lo[three], many), np.repeat(self.low[marks == 3], many)
+        sums = prefix(self.buf)
+        h = span_hash(sums, start, start + length) if len(start) else np.zeros(0, U)
+        o = np.lexsort((start, h, anchor))
+        start, anchor, h = start[o], anchor[o], h[o]
+        new = np.r_[True, (h[1:] != h[:-1]) | (anchor[1:] != anchor[:-1])][: len(o)]
+        again = np.flatnonzero(~new)
+        for k in range(0, len(again), 1 << 14):  # of equal hashes, those whose bytes differ stay apart
+            at = start[again[k : k + (1 << 14)]]
+            before = start[again[k : k + (1 << 14)] - 1]
+            span = np.arange(length)
+            new[again[k : k + (1 << 14)]] = (self.buf[at[:, None] + span] != self.buf[before[:, None] + span]).any(1)
+        key = np.r_[self.low[marks == 2], mix(anchor[new] * U(0x9E3779B97F4A7C15) + h[new]) & _LOW]
+        first = np.r_[self.lo[two], start[new]]
+        size = np.r_[self.hi[two] - self.lo[two] + length, np.full(int(new.sum()), length)]
+        bucket = (key % U(buckets)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")
-        return which[o], np.searchsorted(bucket[o], np.arange(buckets + 1))
+        return Pieces(first[o], size[o], key[o], np.searchsorted(bucket[o], np.arange(buckets + 1)), start[~new])
+
+
+@dataclass
+class Pieces:
+    start: np.ndarray
+    size: np.ndarray
+    key: np.ndarray
+    cut: np.ndarray  # bounds of the buckets
+    again: np.ndarray  # windows that an earlier one of this block equals
 
 
 def blocks(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         t = t.take(pc.sort_indices(t, [("doc_id", "ascending")])).combine_chunks()
         buf, bounds = column_bytes(t.column("text").chunk(0))
@@ -136,23 +166,23 @@ def blocks(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
             out.write_table(t)
         return pa.RecordBatch.from_pydict(
             {
-                "block": [uuid.uuid4().hex], "doc_ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), "n_anchors": pa.array([len(q)], pa.int64()),
+                "block": [f"{TaskContext.get().partitionId():09d}-{number:09d}"], "doc_ids": pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), "n_anchors": pa.array([len(q)], pa.int64()),
                 "anchors": [pack(np.diff(q, prepend=0))], "back": [pack(q - lo)], "ahead": [pack(q - hi)],
                 "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
             }
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, 0
         for batch in batches:
             for b in chunks(batch, "text", block_bytes // 4):
                 held.append(b)
                 size += b.nbytes
                 if size >= block_bytes:
-                    yield block(held)
-                    held, size = [], 0
+                    yield block(held, number)
+                    held, size, number = [], 0, number + 1
         if held:
-            yield block(held)
+            yield block(held, number)
 
     return docs.mapInArrow(run, "block string, doc_ids array<long>, n_anchors long, anchors binary, back binary, ahead binary, payload binary")
 
@@ -189,13 +219,13 @@ def first_pass(table: DataFrame, buckets: int, length: int) -> DataFrame:
         support = anchor | np.r_[True, whole[o][1:] != whole[o][:-1]]
         kinds = np.add.reduceat(support.astype(int), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
         mark = np.zeros(len(o), np.uint8)
-        mark[o] = np.where(~support, 1, np.where(kinds > 1, 2, 0))
+        mark[o] = np.where(~support, 1, np.where(kinds > HOT, 3, np.where(kinds > 1, 2, 0)))
         parts = np.split(mark, np.cumsum(sizes)[:-1])
         n = len(rows)
         return pa.table(
             {
                 "stage": pa.array([1] * n, pa.int32()), "bucket": t.column("bucket"), "block": t.column("block"),
-                "out": pa.array([pack(p) for p in parts], pa.binary()), "closer": pa.array([int((p == 2).sum()) for p in parts], pa.int64()),
+                "out": pa.array([pack(p) for p in parts], pa.binary()), "closer": pa.array([int((p == 2).sum() + 8 * (p == 3).sum()) for p in parts], pa.int64()),
             }
         )
 
@@ -239,7 +269,7 @@ def _window_runs(texts: list[np.ndarray], instance: np.ndarray, length: int):
 
 
 def second_pass(table: DataFrame, verdicts: DataFrame, buckets: int, deeper: int, length: int) -> DataFrame:
-    """(stage, bucket, block, out): for each support that was looked at, which of its windows go."""
+    """(stage, bucket, block, out): for each piece that was looked at, which of its windows go."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         cols = {x: [] for x in ("bucket", "block", "a", "ids", "doc", "at", "size", "bytes")}
@@ -247,72 +277,61 @@ def second_pass(table: DataFrame, verdicts: DataFrame, buckets: int, deeper: int
         squeeze = zstandard.ZstdCompressor(level=1)
         for row in left.to_pylist():
             b = Block(row, buckets, length)
-            which, cut = b.closer(b.marks(rows), deeper)
-            for k in np.flatnonzero(np.diff(cut)):
-                own = b.o[which[cut[k] : cut[k + 1]]]
-                docs, of = np.unique(b.doc[own], return_inverse=True)
-                size = b.hi[own] + length - b.lo[own]
-                data = b.buf[ragged(b.lo[own], size)].tobytes()
-                # the place of the support and of its anchor in the document
-                at = np.concatenate([b.lo[own] - b.bounds[b.doc[own]], b.q[own] - b.lo[own]])
-                for col, v in zip(cols.values(), (int(k), row["block"], pack(b.low[which[cut[k] : cut[k + 1]]]), b.ids[docs].tobytes(), pack(of), pack(at), pack(size), squeeze.compress(data)), strict=True):
+            p = b.pieces(b.marks(rows), deeper)
+            for k in np.flatnonzero(np.diff(p.cut)):
+                own = slice(p.cut[k], p.cut[k + 1])
+                start = p.start[own]
+                doc = np.searchsorted(b.bounds, start, "right") - 1
+                docs, of = np.unique(doc, return_inverse=True)
+                data = b.buf[ragged(start, p.size[own])].tobytes()
+                for col, v in zip(cols.values(), (int(k), row["block"], pack(p.key[own]), b.ids[docs].tobytes(), pack(of), pack(start - b.bounds[doc]), pack(p.size[own]), squeeze.compress(data)), strict=True):
                     col.append(v)
         return pa.table({"bucket": pa.array(cols["bucket"], pa.int32()), "block": pa.array(cols["block"], pa.string()), **{x: pa.array(cols[x], pa.binary()) for x in list(cols)[2:]}})
 
     def sort_windows(t: pa.Table) -> pa.Table:
         t = t.sort_by("block")
         rows = t.to_pylist()
-        low = [unpack(r["a"]) for r in rows]
-        sizes = [len(x) for x in low]
-        low = np.concatenate(low)
+        key = [unpack(r["a"]) for r in rows]
+        sizes = [len(x) for x in key]
+        _, instance = np.unique(np.concatenate(key), return_inverse=True)
         doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[unpack(r["doc"]).astype(int)] for r in rows])
         name = np.repeat(np.arange(len(rows)), sizes)
-        at = np.concatenate([unpack(r["at"]).astype(np.int64)[:n] for r, n in zip(rows, sizes, strict=True)])
+        at = np.concatenate([unpack(r["at"]).astype(np.int64) for r in rows])
         size = np.concatenate([unpack(r["size"]).astype(np.int64) for r in rows])
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["bytes"]) for r in rows), np.uint8)
         begin = np.cumsum(size) - size
-        gone = np.zeros(int((size - length + 1).sum()), bool)
-        first_window = np.cumsum(size - length + 1) - (size - length + 1)
-        _, instance, times = np.unique(low, return_inverse=True, return_counts=True)
-        big = times[instance] > HOT
-        todo = np.flatnonzero(~big)
-        pieces = [(todo, begin[todo], size[todo], np.zeros(len(todo), np.int64), instance[todo])]
-        for k in np.unique(instance[big]):  # a hot anchor: its windows are texts of their own, parted by their hashes
-            own = np.flatnonzero(instance == k)
-            n = size[own] - length + 1
-            start, sup = ragged(begin[own], n), np.repeat(own, n)
-            sums = prefix(data[begin[own[0]] : begin[own[-1]] + size[own[-1]]])
-            part = span_hash(sums, start - begin[own[0]], start - begin[own[0]] + length) % U(max(1, len(start) // HOT))
-            pieces.append((sup, start, np.full(len(start), length), start - begin[sup], part.astype(np.int64)))
-        for sup, start, many, shift, inst in pieces:
-            o = np.argsort(inst, kind="stable")
-            edges = np.flatnonzero(np.r_[True, inst[o][1:] != inst[o][:-1]]) if len(o) else np.zeros(0, int)
-            total = np.cumsum(many[o])
-            k = 0
-            while k < len(edges):  # whole instances, at most about LOT symbols at a time
-                base = total[edges[k]] - many[o[edges[k]]]
-                nxt = max(k + 1, int(np.searchsorted(total[edges], base + LOT)))
-                lot = o[edges[k] : edges[nxt] if nxt < len(edges) else len(o)]
-                text, offset, kind = _window_runs([data[s : s + m] for s, m in zip(start[lot], many[lot], strict=True)], inst[lot], length)
-                text = lot[text]
-                s, place = sup[text], shift[text] + offset
-                order = np.lexsort((at[s] + place, name[s], doc[s], kind))
-                later = np.r_[False, kind[order][1:] == kind[order][:-1]]
-                gone[(first_window[s] + place)[order[later]]] = True
-                k = nxt
-        bits = np.split(gone, np.cumsum([int((size[name == i] - length + 1).sum()) for i in range(len(rows))])[:-1])
+        windows = size - length + 1
+        gone = np.zeros(int(windows.sum()), bool)
+        first_window = np.cumsum(windows) - windows
+        # instances of like size together: a lot takes as many steps as its longest one has symbols
+        o = np.lexsort((instance, np.bincount(instance, size)[instance]))
+        edges = np.flatnonzero(np.r_[True, instance[o][1:] != instance[o][:-1]])
+        total = np.cumsum(size[o])
+        k = 0
+        while k < len(edges):  # whole instances, at most about LOT symbols at a time
+            base = total[edges[k]] - size[o[edges[k]]]
+            nxt = max(k + 1, int(np.searchsorted(total[edges], base + LOT)))
+            lot = o[edges[k] : edges[nxt] if nxt < len(edges) else len(o)]
+            text, offset, kind = _window_runs([data[s : s + m] for s, m in zip(begin[lot], size[lot], strict=True)], instance[lot], length)
+            s = lot[text]
+            order = np.lexsort((at[s] + offset, name[s], doc[s], kind))
+            later = np.r_[False, kind[order][1:] == kind[order][:-1]]
+            gone[(first_window[s] + offset)[order[later]]] = True
+            k = nxt
+        bits = np.split(gone, np.cumsum(np.bincount(name, windows, len(rows)).astype(int))[:-1])
         n = len(rows)
         return pa.table({"stage": pa.array([2] * n, pa.int32()), "bucket": t.column("bucket"), "block": t.column("block"), "out": pa.array([pack(np.packbits(x)) for x in bits], pa.binary()), "closer": pa.array([0] * n, pa.int64())})
 
     sent = table.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(send, "bucket int, block string, a binary, ids binary, doc binary, at binary, size binary, bytes binary")
-    return sent.groupBy("bucket").applyInArrow(sort_windows, "stage int, bucket int, block string, out binary, closer long")
+    # a set number of tasks: few bytes here are much work
+    return sent.repartition(max(1, deeper // 4), "bucket").groupBy("bucket").applyInArrow(sort_windows, "stage int, bucket int, block string, out binary, closer long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 2 << 20, keys_per_bucket: int = 400_000, closer_per_bucket: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 2 << 20, keys_per_bucket: int = 400_000, closer_per_bucket: int = 2_500) -> DataFrame:
     """``docs`` with each byte gone that lies in a ``length``-byte string that also starts earlier.
 
     Earlier: in a document of smaller doc_id, or earlier in the same; rows with null ids come
-    last, and rows with equal ids follow one another in some fixed order. Strings are judged on the
+    last, and rows with equal ids follow one another in the order of the input's partitions. Strings are judged on the
     input texts as UTF-8 (null: empty) and never cross documents. All columns stay, ``text`` is
     replaced, and these are added (columns of their names are replaced): ``n_bytes``,
     ``spans`` (maximal removed runs, as byte offsets [start, end)), and ``kept``, the
@@ -325,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 2 << 2
     buckets = int(min(1 << 16, max(64, total // keys_per_bucket)))
     one = written(first_pass(table, buckets, length), "verdicts")
     closer = int(one.agg(F.sum("closer")).first()[0] or 0)
-    deeper = int(max(64, closer // closer_per_bucket))
+    deeper = int(max(48, closer // closer_per_bucket))
     two = written(second_pass(table, one, buckets, deeper, length), "windows")
     names = docs.columns
 
@@ -343,12 +362,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, block_bytes: int = 2 << 2
 
             whole = np.concatenate([b.again, b.o[marks == 1]])
             remove(b.lo[whole], b.hi[whole] + length)
-            which, cut = b.closer(marks, deeper)
+            p = b.pieces(marks, deeper)
+            remove(p.again, p.again + length)
             for bucket, packed in b.verdicts(rows, 2):
-                own = b.o[which[cut[bucket] : cut[bucket + 1]]]
-                n = b.hi[own] - b.lo[own] + 1
+                own = slice(p.cut[bucket], p.cut[bucket + 1])
+                n = p.size[own] - length + 1
                 gone = np.unpackbits(unpack(packed).astype(np.uint8))[: int(n.sum())].astype(bool)
-                at = ragged(b.lo[own], n)[gone]
+                at = ragged(p.start[own], n)[gone]
                 remove(at, at + length)
             keep = np.cumsum(cover[:-1]) == 0
             edge = np.diff(np.concatenate([[1], keep, [1]]).astype(np.int8))
