@@ -87,6 +87,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_neighbours(rows, F.col("doc_id") % 20 == 0, 3)
 
 
+def ngram_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of :func:`op4_interpolation`'s operator, learned from all documents: what SQL can check of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(True).alias("train"))
+    return interpolation.score(docs, 2).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and slots of the shards of :func:`op6_sharding`."""
+    return op6_sharding(spark, sf_dir).groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
+def simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts' lengths and edits as :func:`op10_simhash` makes them."""
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -96,9 +112,52 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_toxicity, op2_packing, op3_decontamination, op4_interpolation, op5_jaccard, op6_sharding, op7_token_files, op8_suffix_dedup, op9_language_id, op10_simhash]
+    own = [op1_toxicity, op2_packing, op3_decontamination, op4_interpolation, op5_jaccard, op6_sharding, op7_token_files, op8_suffix_dedup, op9_language_id, op10_simhash, ngram_base_scores, sharding_law, simhash_edits]
     return {q.__name__: _shipped(q) for q in own}
 
 
+#: SQL for the same rows. Trained models, tokenizers and drawn shuffles are beyond it; tests hold those operators against direct programs.
+_SQL = {
+    "op5_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        c AS (SELECT min(doc_id) AS text_id, count(*) AS n_copies, w FROM d WHERE len(w) > 0 GROUP BY w),
+        g AS (SELECT DISTINCT text_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT text_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM c)),
+        n AS (SELECT text_id, count(*) AS n FROM g GROUP BY text_id),
+        l AS (SELECT u, v FROM (SELECT a.text_id AS u, b.text_id AS v, count(*) AS s FROM g a JOIN g b ON a.gram = b.gram AND a.text_id < b.text_id GROUP BY 1, 2) JOIN n x ON x.text_id = u JOIN n y ON y.text_id = v WHERE s >= 0.8 * (x.n + y.n - s)),
+        e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+        r AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node),
+        i AS (SELECT text_id, n_copies, w, coalesce((SELECT min(root) FROM r WHERE node = text_id), text_id) AS class_id, (SELECT count(*) FROM e WHERE u = text_id) AS n_links FROM c)
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(text_id, d.doc_id) AS text_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_copies, 1) AS BIGINT) AS n_copies FROM d LEFT JOIN i ON d.w = i.w
+    """,
+    "op8_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, j, substr(h, 1 + 400 * j, 598) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 400 + 1)) AS j FROM d WHERE length(h) >= 200)),
+        w AS (SELECT doc_id, j, x, unnest(range(0, least(200, length(x) // 2 - 99))) AS q FROM c WHERE length(x) >= 200),
+        f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY v ORDER BY doc_id, p) AS n FROM (SELECT doc_id, 200 * j + q AS p, substr(x, 2 * q + 1, 200) AS v FROM w)),
+        g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM f WHERE n > 1),
+        r AS (SELECT doc_id, k, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+        o AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b, e FROM r),
+        t AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last FROM r GROUP BY doc_id),
+        k AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+          sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+    "ngram_base_scores": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, unnest(list_append(w, ' ')) AS tok FROM d),
+        c AS (SELECT tok, count(*) AS c FROM t GROUP BY tok),
+        s AS (SELECT count(*) AS n, count(DISTINCT tok) AS v FROM t)
+        SELECT doc_id, count(*) AS n_tokens, count(*) AS n_known, any_value(n) AS train_tokens, round(sum(log10((c + 1) / (n + v + 1))), 6) AS base_score FROM t JOIN c USING (tok), s GROUP BY doc_id
+    """,
+    "sharding_law": r"""
+        WITH c AS (SELECT count(*) AS n FROM documents) SELECT CAST(s AS INTEGER) AS shard, CAST(n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END AS BIGINT) AS n, CAST(0 AS BIGINT) AS first_slot, CAST(n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END - 1 AS BIGINT) AS last_slot FROM c, range(24) AS r(s)
+    """,
+    "simhash_edits": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC), '') AS after FROM documents)
+        SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(after, 1, length(t) // 3)) AS edited_sha256 FROM d
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
