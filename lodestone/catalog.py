@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import cases
 from lodestone.functions import text as X
 from lodestone.functions import values as V
 from lodestone.operators import fusion, profile, selection, text_units
@@ -206,10 +207,13 @@ def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_units.paragraphs(text_units.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\b(is defined as|means|refers to|stands for)\b') THEN 'definition' WHEN regexp_matches(lower(text), '\b(however|caveat|limitation|beware|warning|only if|unless)\b') THEN 'caveat' WHEN regexp_matches(lower(text), '^\s*(?:[0-9]+[.)]|first|then|next|finally|step)\b') THEN 'procedure' ELSE 'unknown' END AS role, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents")
+@query(
+    f"SELECT doc_id, regexp_matches(text, '{V.DEFINITION_RE}') AS definition, regexp_matches(text, '(?i){V.CAVEAT_RE.replace(chr(39), chr(39) * 2)}') AS caveat, "
+    "substr(regexp_replace(text, '^\\s+', ''), 1, 2) IN ('1.', '1)', '- ', '* ') AS procedure, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents"
+)
 def doc_cues_and_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.prose_cue(t).alias("role"), X.token_estimate(t).alias("tokens"), F.octet_length(t).alias("n_bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.prose_cues(t).alias("cues"), X.token_estimate(t).alias("tokens"), F.octet_length(t).alias("n_bytes")).select("doc_id", "cues.*", "tokens", "n_bytes")
 
 
 _LINKS_SQL = "k AS (SELECT page_id, url, CAST(i - 1 AS INTEGER) AS at, hs[i] AS href FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a [^>]*href=\"([^\"]*)\"', 1) AS hs FROM pages) p, unnest(range(1, len(hs) + 1)) AS u(i))"
@@ -226,9 +230,17 @@ def page_url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.canonical_url(u).alias("canonical"), X.url_origin(u).alias("origin"))
 
 
-@query(None)
+_HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
+
+
+@query(
+    f"WITH x AS (SELECT page_id, regexp_extract_all(html, '{_HEADING}', 1) AS ls, regexp_extract_all(html, '{_HEADING}', 2) AS ts FROM pages), "
+    "h AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS at, CAST(ls[i] AS INTEGER) AS level, trim(regexp_replace(regexp_replace(ts[i], '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM x, unnest(range(1, len(ls) + 1)) AS u(i)), "
+    "p AS (SELECT a.page_id, a.at, list(b.title ORDER BY b.\"at\") AS path FROM h a JOIN h b ON a.page_id = b.page_id AND b.at <= a.at AND NOT EXISTS (SELECT 1 FROM h c WHERE c.page_id = a.page_id AND c.at > b.at AND c.at <= a.at AND c.level <= b.level) GROUP BY 1, 2) "
+    "SELECT h.page_id, h.\"at\", h.level, h.title, p.path FROM h JOIN p ON h.page_id = p.page_id AND h.\"at\" = p.\"at\""
+)
 def page_heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of pages with the headings above them."""
+    """Headings of pages with the headings above them: those that no later one of their level or a higher one closed."""
     return text_units.outline(text_units.html_headings(table(spark, sf_dir, "pages")), "page_id", "at", "level", "title")
 
 
@@ -261,16 +273,9 @@ def literal_unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {_LINKS_SQL}, e AS (SELECT DISTINCT a.page_id AS u, b.page_id AS v FROM k a JOIN k b ON a.href = b.href AND a.page_id <> b.page_id AND a.at = 0 AND b.at = 0), w(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT e.v, w.depth + 1 FROM w JOIN e ON w.node = e.u WHERE w.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node"
+    f"WITH RECURSIVE {_LINKS_SQL}, e AS (SELECT DISTINCT a.page_id AS u, b.page_id AS v FROM k a JOIN k b ON a.href = b.href AND a.page_id <> b.page_id), w(node, depth) AS (SELECT min(page_id), 0 FROM pages UNION SELECT e.v, w.depth + 1 FROM w JOIN e ON w.node = e.u WHERE w.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node"
 )
 def link_bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages within three steps of the first page, a step being the same first link."""
-    pages = table(spark, sf_dir, "pages")
-    return _pages_by_links(pages, text_units.html_links(pages).where("at = 0"))
-
-
-@query(None)
-def link_bfs_depth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages within three steps of the first page, a step being any link that both pages hold."""
     pages = table(spark, sf_dir, "pages")
     return _pages_by_links(pages, text_units.html_links(pages))
@@ -284,27 +289,44 @@ def _pages_by_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return fusion.reach(edges, start, 6).where("node like 'p%'").select(F.expr("cast(substring(node, 2) as bigint)").alias("node"), (F.col("depth") / 2).cast("int").alias("depth"))
 
 
+_HEAD = r"^\s*(?:[-*]\s+)?(`[^`]{1,64}`|[A-Za-z][A-Za-z0-9_.-]{0,63})\s*[=:]\s*"
+_SCALAR = r"""^("(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|(?i:true|false)|[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))(?:\s+([A-Za-z%][A-Za-z0-9%/_-]{0,15}))?$"""
+_NUMBER_SQL = (
+    "CASE WHEN raw LIKE '-%' AND regexp_matches(raw, '[1-9]') THEN '-' ELSE '' END || CASE WHEN ltrim(regexp_extract(raw, '^[-+]?([0-9]*)', 1), '0') = '' THEN '0' ELSE ltrim(regexp_extract(raw, '^[-+]?([0-9]*)', 1), '0') END "
+    "|| CASE WHEN rtrim(regexp_extract(raw, '[.]([0-9]*)$', 1), '0') = '' THEN '' ELSE '.' || rtrim(regexp_extract(raw, '[.]([0-9]*)$', 1), '0') END"
+)
 _FACTS_SQL = (
-    "l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+ = \"[^\"]*\"')) AS content FROM documents), a AS (SELECT d.source, regexp_extract(content, " + r"'^\s*(?:[-*]\s+)?([A-Za-z][A-Za-z0-9_.-]{{0,63}})\s*[=:]\s*(true|false|[-+]?[0-9]+(?:\.[0-9]+)?|\"[^\"]*\")\s*[.;]?\s*$', ['name', 'raw']) AS x FROM l JOIN documents d USING (doc_id)), ".replace("{{", "{").replace("}}", "}")
-    + "f AS (SELECT source, array_to_string(" + _TOKENS_SQL.format(c="x.name") + ", ' ') AS key, CASE WHEN x.raw IN ('true','false') THEN 'boolean' WHEN x.raw LIKE '\"%' THEN 'string' ELSE 'number' END AS value_type, trim(x.raw, '\"') AS value FROM a WHERE x.name <> '')"
+    f"l AS (SELECT source, unnest(string_split(regexp_replace(text, '([A-Za-z_]+ = \"[^\"\n]*\")', chr(10) || '\\1' || chr(10), 'g'), chr(10))) AS content FROM documents), a AS (SELECT source, trim(regexp_extract(content, '{_HEAD}', 1), '`') AS name, regexp_replace(regexp_replace(content, '{_HEAD}', ''), '\\s*[.;]?\\s*$', '') AS body FROM l WHERE regexp_matches(content, '{_HEAD}')), "
+    f"b AS (SELECT source, name, regexp_extract(body, '{_SCALAR}', 1) AS raw, nullif(lower(regexp_extract(body, '{_SCALAR}', 2)), '') AS unit FROM a), "
+    "c AS (SELECT source, name, unit, CASE WHEN raw LIKE '\"%' OR raw LIKE '''%' THEN 'string' WHEN lower(raw) IN ('true', 'false') THEN 'boolean' ELSE 'number' END AS value_type, "
+    "CASE WHEN raw LIKE '\"%' THEN CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$') END WHEN raw LIKE '''%' THEN replace(raw[2:-2], '\\''', '''') WHEN lower(raw) IN ('true', 'false') THEN lower(raw) "
+    f"ELSE {_NUMBER_SQL} END AS value FROM b WHERE raw <> ''), "
+    f"t AS (SELECT *, list_filter({_TOKENS_SQL.format(c='name')}, lambda x: NOT list_contains({_words(V.FACT_KEY_STOPS)}, x)) AS tokens FROM c WHERE value IS NOT NULL), "
+    "f AS (SELECT source, array_to_string(tokens, ' ') AS key, value_type, value, unit, len(tokens) >= 2 OR regexp_matches(name, '[._-]') AS qualified, "
+    f"len(list_filter(tokens, lambda x: NOT list_contains({_words(V.COMMON_WORDS)}, x))) >= 2 AS telling, len(tokens) AS n FROM t WHERE len(tokens) > 0)"
 )
 
 
-def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit('([A-Za-z_]+ = "[^"]*")'))
-    return table(spark, sf_dir, "documents").select("source", F.explode(found).alias("content"))
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # running text is parted around assignments, so that they stand on lines of their own; all of the text is read
+    parted = F.regexp_replace("text", '([A-Za-z_]+ = "[^"\n]*")', "\n$1\n")
+    lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split(parted, "\n")).alias("content"))
+    return fusion.prose_facts(lines, "source")
 
 
-@query(f"WITH {_FACTS_SQL} SELECT source, key, value_type, value, count(*) AS n FROM f GROUP BY ALL")
+@query(f"WITH {_FACTS_SQL} SELECT source, key, value_type, value, unit, qualified, count(*) AS n FROM f GROUP BY ALL")
 def prose_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.prose_facts(_assignments(spark, sf_dir), "source").groupBy("source", "key", "value_type", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Facts that lines of documents state."""
+    return _facts(spark, sf_dir).groupBy("source", "key", "value_type", "value", "unit", "qualified").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"WITH {_FACTS_SQL}, g AS (SELECT key, source, min(value_type) AS t, min(value) AS v FROM f GROUP BY key, source HAVING count(DISTINCT (value_type, value)) = 1) SELECT a.key, a.source AS \"left\", b.source AS \"right\", a.v AS left_value, b.v AS right_value FROM g a JOIN g b ON a.key = b.key AND a.t = b.t AND a.source < b.source AND a.v <> b.v"
+    f"WITH {_FACTS_SQL}, g AS (SELECT key, source, min(value_type) AS t, min(value) AS v, min(unit) AS u, max(qualified) AS q, max(telling) AS m FROM f WHERE n >= 2 GROUP BY key, source HAVING count(DISTINCT (value_type, value, unit)) = 1) "
+    "SELECT a.key, a.source AS \"left\", b.source AS \"right\", a.v AS left_value, b.v AS right_value, a.t AS value_type, a.u AS unit, 'exact-qualified-specific-key' AS context FROM g a JOIN g b ON a.key = b.key AND a.t = b.t AND a.u IS NOT DISTINCT FROM b.u AND a.source < b.source AND a.v <> b.v WHERE a.q AND b.q AND a.m"
 )
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.contradictions(fusion.prose_facts(_assignments(spark, sf_dir), "source"))
+    """Sources of documents that state one fact differently."""
+    return fusion.contradictions(_facts(spark, sf_dir))
 
 
 @query("SELECT doc_id, source, round FROM (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS INTEGER) AS round, (SELECT greatest(4, least(16, 48 // count(DISTINCT source))) FROM documents) AS cap FROM documents) WHERE round <= cap")
@@ -410,17 +432,26 @@ def cycle_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.cycles(e)
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE d AS (SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), "
+    "r AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS t, false AS ok FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT d.source, d.n, r.t + CASE WHEN d.n_bytes <= 16384 AND r.t + d.n_bytes <= 65536 THEN d.n_bytes ELSE 0 END, d.n_bytes <= 16384 AND r.t + d.n_bytes <= 65536 FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1 WHERE d.n <= 2048) "
+    "SELECT doc_id, d.source, n_bytes, CASE WHEN d.n > 2048 THEN 'declined-members' WHEN n_bytes > 16384 THEN 'declined-bytes' WHEN ok THEN 'admitted' ELSE 'declined-total' END AS status FROM d LEFT JOIN r ON r.source = d.source AND r.n = d.n"
+)
 def limit_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of collections (sources), admitted under limits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"))
     return selection.admit(docs, "source", [F.col("doc_id")], "n_bytes", 2048, 16_384, 65_536)
 
 
-def all_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"WITH {_SCHEMA_SQL}, c AS (" + " UNION ALL ".join(f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS seen, \"column\", n FROM (UNPIVOT (SELECT count(COLUMNS(*)) AS \"\\0\" FROM {t}) ON COLUMNS(*) INTO NAME \"column\" VALUE n)" for t in TABLES)
+    + ") SELECT c.source, c.\"column\", type, seen, seen - n AS nulls FROM c JOIN s ON c.source = s.source AND c.\"column\" = s.\"column\""
+)
+def profile_all_tables_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seen and null counts of every column of every table."""
     parts = [profile.column_profile(table(spark, sf_dir, t), t, exact_distinct=False).select("source", "column", "type", "seen", "nulls") for t in TABLES]
     return reduce(DataFrame.unionByName, parts)
 
 
-_QUERIES["profile_all_tables_summary"] = all_profiles
+_QUERIES.update(cases.QUERIES)
+_SQL.update(cases.SQL)

@@ -149,6 +149,21 @@ def path_normalised(path: Column) -> Column:
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(fold, "/"))
 
 
+def percent_normalised(path: Column) -> Column:
+    """A URL's path with the escapes of unreserved characters undone, other escapes in capitals, and characters that need one escaped."""
+
+    def unescape(p: Column) -> Column:
+        code, rest = F.substring(p, 1, 2), F.regexp_replace(p, "(?s)^..", "")
+        char = F.char(F.conv(code, 16, 10).cast("int"))
+        plain = F.conv(code, 16, 10).cast("int") < 128
+        return F.when(~p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), p)).when(plain & char.rlike("^[A-Za-z0-9._~-]$"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), F.upper(code), rest))
+
+    parts = F.split(path, "%")
+    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 100_000), unescape), ""))
+    escape = lambda c: F.when(c.rlike("^[A-Za-z0-9/:@!$&'()*+,;=._~%-]$") | (c == ""), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return F.when(decoded.rlike("^[A-Za-z0-9/:@!$&'()*+,;=._~%-]*$"), decoded).otherwise(F.array_join(F.transform(F.split(decoded, ""), escape), ""))
+
+
 def canonical_url(url: Column) -> Column:
     """Identity of an http(s) URL, or null.
 
@@ -158,7 +173,7 @@ def canonical_url(url: Column) -> Column:
     part = lambda n: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", n)
     scheme, host = F.lower(part(1)), F.lower(part(2))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    path = part(3)
+    path = percent_normalised(part(3))
     clean = path_normalised(F.when(path == "", "/").otherwise(path))
     clean = F.when(path.rlike("/(\\.{1,2})?$") & (clean != "/"), F.concat(clean, F.lit("/"))).otherwise(clean)
     return F.when(scheme.isin("http", "https") & (host != "") & ~host.contains("@"), F.concat(scheme, F.lit("://"), host, clean, part(4)))
@@ -179,11 +194,17 @@ def last_segment(path: Column) -> Column:
     return F.try_element_at(parts, F.lit(-1))
 
 
-def prose_cue(sentence: Column) -> Column:
-    """definition, caveat, procedure, or unknown, by telling words."""
-    low = F.lower(sentence)
-    return (
-        F.when(low.rlike(r"\b(is defined as|means|refers to|stands for)\b"), "definition")
-        .when(low.rlike(r"\b(however|caveat|limitation|beware|warning|only if|unless)\b"), "caveat")
-        .when(low.rlike(r"^\s*(?:[0-9]+[.)]|first|then|next|finally|step)\b"), "procedure").otherwise("unknown")
-    )
+def prose_cues(text: Column) -> Column:
+    """Whether a paragraph looks like a definition, a caveat and a procedure (X9), as a struct of three truth values."""
+    start = F.ltrim(F.regexp_replace(text, r"^\s+", ""))
+    steps = F.substring(start, 1, 2).isin("1.", "1)", "- ", "* ")
+    return F.struct(text.rlike(V.DEFINITION_RE).alias("definition"), text.rlike(f"(?i){V.CAVEAT_RE}").alias("caveat"), steps.alias("procedure"))
+
+
+def plain_number(text: Column) -> Column:
+    """A written decimal without needless signs, zeros or point, so equal numbers are equal texts (X26); null for other texts."""
+    bare = F.regexp_replace(text, "^[-+]", "")
+    whole = F.regexp_replace(F.regexp_replace(bare, r"\..*$", ""), "^0+", "")
+    part = F.regexp_replace(F.regexp_extract(bare, r"\.([0-9]*)$", 1), "0+$", "")
+    number = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), F.when(text.startswith("-") & (number != "0"), F.concat(F.lit("-"), number)).otherwise(number))

@@ -5,9 +5,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import formulas
+
 
 def column_number(letters: Column) -> Column:
     """Number of a column's letters: A is 1, Z 26, AA 27."""
@@ -23,13 +28,26 @@ def labels(cells: DataFrame, reach: int = 3) -> DataFrame:
     return found.withColumn("label", F.coalesce(F.last("_text", True).over(left), F.last("_text", True).over(above))).drop("_text")
 
 
+def _per_formula(cells: DataFrame, schema: str, rows) -> DataFrame:
+    """Rows made from each formula cell's (sheet, row, col, formula)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[x.split()[1]]) for x in schema.split(", ")])
+        for b in batches:
+            out = [r for cell in b.to_pylist() for r in rows(cell)]
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return cells.where("formula is not null").select("sheet", "row", "col", "formula").mapInArrow(run, schema)
+
+
 def precedents(cells: DataFrame) -> DataFrame:
     """(sheet, row, col, p_sheet, p_row, p_col): cells that each formula names; of a range, its corners."""
-    pattern = r"(?:'([^']+)'!|([A-Za-z_][A-Za-z0-9_]*)!)?\$?([A-Za-z]{1,3})\$?([0-9]{1,7})(?![A-Za-z0-9_(])"
-    parts = F.arrays_zip(*[F.regexp_extract_all("formula", F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(1, 5)])
-    each = cells.where("formula is not null").select("sheet", "row", "col", F.explode(parts).alias("p"))
-    named = F.coalesce(F.nullif(F.col("p.g1"), F.lit("")), F.nullif(F.col("p.g2"), F.lit("")), F.col("sheet"))
-    return each.select("sheet", "row", "col", named.alias("p_sheet"), F.col("p.g4").cast("int").alias("p_row"), column_number(F.col("p.g3")).alias("p_col")).distinct()
+
+    def rows(c: dict):
+        for sheet, letters, row in formulas.cells_of(c["formula"], c["sheet"]):
+            yield {"sheet": c["sheet"], "row": c["row"], "col": c["col"], "p_sheet": sheet, "p_row": row, "p_col": formulas.column_number(letters)}
+
+    return _per_formula(cells, "sheet string, row int, col int, p_sheet string, p_row int, p_col int", rows)
 
 
 def inputs(cells: DataFrame) -> DataFrame:
@@ -45,8 +63,9 @@ def outputs(cells: DataFrame) -> DataFrame:
 
 
 def functions_used(cells: DataFrame) -> DataFrame:
-    """(sheet, row, col, functions, literals): function names and bare numbers in each formula."""
-    bare = F.regexp_replace("formula", r"\"[^\"]*\"", "")
-    numbers = F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9$.:_])([0-9]+(?:\.[0-9]+)?)(?![A-Za-z0-9.(])"))
-    harmless = F.array(*[F.lit(x) for x in ("0", "1", "2", "100")])
-    return cells.where("formula is not null").select("sheet", "row", "col", F.array_distinct(F.regexp_extract_all(bare, F.lit(r"([A-Z][A-Z0-9.]*)\("))).alias("functions"), F.array_except(numbers, harmless).alias("literals"))
+    """(sheet, row, col, functions, literals): function names and telling bare numbers in each formula."""
+
+    def rows(c: dict):
+        yield {"sheet": c["sheet"], "row": c["row"], "col": c["col"], "functions": formulas.functions_of(c["formula"]), "literals": formulas.numbers_of(c["formula"])}
+
+    return _per_formula(cells, "sheet string, row int, col int, functions array<string>, literals array<string>", rows)

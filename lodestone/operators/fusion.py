@@ -42,6 +42,80 @@ def resolve(references: DataFrame, identities: DataFrame) -> DataFrame:
     return n.select("source", "ref", "target", "status", hit["target_source"].alias("target_source"), hit["unit"].alias("unit"))
 
 
+# Kinds of references.
+PATH_KINDS = "path include literalinclude image figure explicit-target".split()
+IMPORT_KINDS = "import from-import".split()
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def reference_keys(references: DataFrame) -> DataFrame:
+    """``references(source, ref, target, kind)`` with the branch that each takes, and the identities to look for.
+
+    (…, branch, keys): branch is label, citation, doi, url, import, path or unsupported; ``keys`` are (key, rank,
+    confidence), of which those of the least rank that is met count. A path is looked for as a place, seen from its
+    source's folder, and only then, if it is a bare file name, as a name. A relative import is a module or a package.
+    """
+    target, folder = F.trim("target"), _folder(F.col("source"))
+    doi, url = X.doi(target), X.canonical_url(target)
+    bare = F.regexp_replace(target, "#.*$", "")
+    local = url.isNull() & (bare.rlike(r"^(\.{1,2}/|/)") | bare.rlike(r"(^|/)[^/]+\.[A-Za-z0-9]{1,8}$"))
+    branch = (
+        F.when(F.col("kind") == "label", "label").when(F.col("kind") == "citation", "citation").when((F.col("kind") == "doi") | doi.isNotNull(), "doi").when((F.col("kind") == "url") | url.isNotNull(), "url")
+        .when(F.col("kind").isin(*IMPORT_KINDS), "import").when(F.col("kind").isin(*PATH_KINDS) | local, "path").otherwise("unsupported")
+    )
+    key = lambda k, rank, confidence: F.struct(k.alias("key"), F.lit(rank).alias("rank"), F.lit(confidence).alias("confidence"))
+    dots = F.length(F.regexp_extract(target, r"^(\.+)", 1))
+    module = F.regexp_replace(F.regexp_replace(target, r"^\.+", ""), r"\.", "/")
+    up = F.concat(folder, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))), F.lit("/"), module)
+    place = X.path_normalised(F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, F.lit("/"), bare)))
+    keys = (
+        F.when(branch == "label", F.array(key(F.concat(F.lit("label:"), target), 0, 1.0)))
+        .when((branch == "doi") & doi.isNotNull(), F.array(key(F.concat(F.lit("url:https://doi.org/"), doi), 0, 1.0)))
+        .when((branch == "url") & url.isNotNull(), F.array(key(F.concat(F.lit("url:"), url), 0, 1.0)))
+        .when((branch == "import") & (dots > 0), F.array(*[key(F.concat(F.lit("path:"), X.path_normalised(F.concat(up, F.lit(end)))), 0, 0.99) for end in (".py", "/__init__.py")]))
+        .when((branch == "path") & (bare != "") & ~bare.contains("/"), F.array(key(F.concat(F.lit("path:"), place), 0, 1.0), key(F.concat(F.lit("name:"), bare), 1, 0.95)))
+        .when((branch == "path") & (bare != ""), F.array(key(F.concat(F.lit("path:"), place), 0, 1.0)))
+    )
+    return references.where("trim(target) <> ''").withColumn("branch", branch).withColumn("keys", keys)
+
+
+def source_identities(sources: DataFrame) -> DataFrame:
+    """(key, target_source, unit) under which ``sources(source)`` are found: place and name of a file, address of a page."""
+    url = X.canonical_url(F.col("source"))
+    path = F.when(~F.col("source").contains("://") | F.col("source").startswith("file:"), F.regexp_replace("source", "^file:/*", "/"))
+    keys = F.array_compact(F.array(F.concat(F.lit("url:"), url), F.concat(F.lit("path:"), X.path_normalised(path)), F.concat(F.lit("name:"), F.regexp_extract(path, "([^/]*)$", 1))))
+    return sources.select("source").distinct().select(F.explode(keys).alias("key"), F.col("source").alias("target_source"), F.lit("file").alias("unit"))
+
+
+def resolve_references(references: DataFrame, identities: DataFrame) -> DataFrame:
+    """Literal references by kind (J1 to J4): (source, ref, target, branch, status, target_source, unit, confidence).
+
+    ``identities(key, target_source, unit)``. Exactly one unit elsewhere is ``resolved``, several are ``ambiguous-target``;
+    a hit in the own source alone, or of a label, is ``resolved-intra-source``. None is ``unresolved`` for labels, citations, paths and
+    relative imports, ``external-reference`` for addresses and other imports, ``unsupported-reference-kind`` for the rest.
+    """
+    refs = reference_keys(references.withColumn("own", F.col("source")).withColumn("source", F.regexp_replace("source", "^file:/*", "/")))
+    each = refs.select("own", "ref", "target", "branch", F.explode_outer("keys").alias("k")).select("own", "ref", "target", "branch", "k.*")
+    met = each.join(identities.dropDuplicates(["key", "target_source", "unit"]), "key", "left")
+    best = met.groupBy("own", "ref", "target", "branch", F.coalesce("rank", F.lit(0)).alias("rank")).agg(
+        F.count_if(F.col("target_source") == F.col("own")).alias("n_own"), F.count_distinct(F.when(F.col("target_source") != F.col("own"), F.struct("target_source", "unit"))).alias("n_other"),
+        F.min(F.when(F.col("target_source") != F.col("own"), F.struct("target_source", "unit", "confidence"))).alias("other"), F.min(F.when(F.col("target_source") == F.col("own"), F.struct("target_source", "unit", "confidence"))).alias("self"),
+    )
+    hit = F.when((F.col("n_own") > 0) | (F.col("n_other") > 0), F.struct((-F.col("rank")).alias("order"), "n_own", "n_other", "other", "self"))
+    one = best.groupBy("own", "ref", "target", "branch").agg(F.max(hit).alias("h"))
+    n_own, n_other = F.coalesce("h.n_own", F.lit(0)), F.coalesce("h.n_other", F.lit(0))
+    status = (
+        F.when((n_own > 0) & ((n_other == 0) | (F.col("branch") == "label")), "resolved-intra-source").when(n_other == 1, "resolved").when(n_other > 1, "ambiguous-target")
+        .when(F.col("branch") == "unsupported", "unsupported-reference-kind").when(F.col("branch").isin("label", "citation", "path") | ((F.col("branch") == "import") & F.trim("target").startswith(".")), "unresolved").otherwise("external-reference")
+    )
+    one = one.withColumn("status", status)
+    found = F.when(F.col("status") == "resolved", F.col("h.other")).when(F.col("status") == "resolved-intra-source", F.col("h.self"))
+    return one.select(F.col("own").alias("source"), "ref", "target", "branch", "status", found["target_source"].alias("target_source"), found["unit"].alias("unit"), found["confidence"].alias("confidence"))
+
+
 def identifiers(schema: DataFrame, conceptual: bool = True) -> DataFrame:
     """(source, column, canonical, eligible) of ``schema(source, column)``."""
     tokens = X.identifier_tokens(F.col("column"), conceptual)
@@ -113,9 +187,11 @@ def identifier_matches(units: DataFrame, n_sources: DataFrame) -> DataFrame:
     return joined.select("canonical", F.least("source", other).alias("left"), F.greatest("source", other).alias("right"), confidence.alias("confidence"))
 
 
-def structural_pairs(schema: DataFrame, least_shared: int = 3, least_jaccard: float = 0.75) -> DataFrame:
+def structural_pairs(schema: DataFrame, least_shared: int = 3, least_jaccard: float = 0.75, most_pairs: int = 50_000) -> DataFrame:
     """Pairs of tables that share fields (J8): a row for each pair with a field in common.
 
+    More than ``most_pairs`` pairs are an error and not a cut (J9); how many there may be is counted first, from how many tables have each field.
+
     (left, right, shared, telling, jaccard, compatible, status, confidence). Accepted: at
     least ``least_shared`` telling fields, Jaccard over all fields, and four fifths of types
     compatible. Every other pair says which test failed first.
@@ -124,6 +200,10 @@ def structural_pairs(schema: DataFrame, least_shared: int = 3, least_jaccard: fl
     fields = schema.select("source", F.array_join(tokens, " ").alias("field"), X.generic_field(tokens).alias("generic"), "type").where("field <> ''")
     fields = fields.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("source", "field"))).where("n = 1").drop("n")
     fields = fields.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("source"))).where("size >= 3")
+    fields = written(fields, "fields")
+    meetings = fields.groupBy("field").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.expr("t * (t - 1) div 2"))).first()[0] or 0
+    if meetings > most_pairs and fields.alias("a").join(fields.alias("b"), F.expr("a.field = b.field and a.source < b.source")).select("a.source", F.col("b.source").alias("other")).distinct().limit(most_pairs + 1).count() > most_pairs:
+        raise ValueError(f"more than {most_pairs} pairs of tables share a field")
     a, b = fields.alias("a"), fields.alias("b")
     met = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.source") < F.col("b.source")))
     numeric = F.array(F.lit("integer"), F.lit("number"))
@@ -136,25 +216,80 @@ def structural_pairs(schema: DataFrame, least_shared: int = 3, least_jaccard: fl
     return pairs.select("left", "right", "shared", "telling", F.round(jaccard, 6).alias("jaccard"), "compatible", status.alias("status"), F.when(status == "accepted", F.round(F.least(F.lit(0.98), 0.8 + 0.18 * jaccard), 6)).alias("confidence"))
 
 
-def prose_facts(numbered: DataFrame, source: str) -> DataFrame:
-    """(source, key, value_type, value) of lines like ``key = "value"``."""
-    pattern = r"^\s*(?:[-*]\s+)?([A-Za-z][A-Za-z0-9_.-]{0,63})\s*[=:]\s*(true|false|[-+]?[0-9]+(?:\.[0-9]+)?|\"[^\"]*\")\s*[.;]?\s*$"
-    key, raw = F.regexp_extract("content", pattern, 1), F.regexp_extract("content", pattern, 2)
-    kind = F.when(raw.isin("true", "false"), "boolean").when(raw.startswith('"'), "string").otherwise("number")
-    return numbered.select(F.col(source).alias("source"), key.alias("name"), kind.alias("value_type"), F.when(kind == "string", F.regexp_replace(raw, '^"|"$', "")).otherwise(raw).alias("value")).where("name <> ''").select(
-        "source", F.array_join(X.identifier_tokens(F.col("name")), " ").alias("key"), "value_type", "value"
-    )
+def fact_key(name: Column) -> Column:
+    """Tokens of a fact's key (X30): a leading ``$``, stars and telling-nothing tokens left out."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(name), r"^\$[./]?", ""), r"\[\*\]|\*", ".")
+    stops = F.array(*[F.lit(x) for x in V.FACT_KEY_STOPS])
+    return F.filter(X.identifier_tokens(bare), lambda t: ~F.array_contains(stops, t))
 
 
-def contradictions(facts: DataFrame) -> DataFrame:
-    """Facts on which two sources differ (J10, G18): (key, left, right, left_value, right_value).
+def prose_facts(numbered: DataFrame, source: str) -> DataFrame:
+    """(source, key, value_type, value, unit, qualified) of lines that say ``key = value unit``.
 
-    A source that states several values for a key is ambiguous there and is left out.
+    A line is read in steps: a list mark, a key (plain or in back-ticks) and its sign; then a scalar in quotes, a truth
+    value or a number; then a unit; a full stop or semicolon may end it. Numbers are compared as decimals, quoted texts as what they
+    spell, truth values and units in lower case. Lines that leave a rest are no facts.
     """
-    single = facts.groupBy("key", "source").agg(F.count_distinct("value_type", "value").alias("n"), F.min("value_type").alias("value_type"), F.min("value").alias("value")).where("n = 1")
+    head = r"^\s*(?:[-*]\s+)?(`[^`]{1,64}`|[A-Za-z][A-Za-z0-9_.-]{0,63})\s*[=:]\s*"
+    key = F.regexp_replace(F.regexp_extract("content", head, 1), "^`|`$", "")
+    body = F.regexp_replace(F.regexp_replace("content", head, ""), r"\s*[.;]?\s*$", "")
+    scalar = r"""^("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|(?i:true|false)|[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))(?:\s+([A-Za-z%][A-Za-z0-9%/_-]{0,15}))?$"""
+    read = numbered.select(F.col(source).alias("source"), key.alias("name"), body.alias("body")).where("name <> '' and body <> ''")
+    read = read.select("source", "name", F.regexp_extract("body", scalar, 1).alias("raw"), F.lower(F.regexp_extract("body", scalar, 2)).alias("unit")).where("raw <> ''")
+    raw, quote = F.col("raw"), F.substring("raw", 1, 1)
+    # a text in single quotes as one in double quotes
+    inner = F.regexp_replace(F.regexp_replace(F.expr("substring(raw, 2, length(raw) - 2)"), r"\\'", "'"), r'(^|[^\\])"', r'$1\\"')
+    spelled = F.from_json(F.concat(F.lit("["), F.when(quote == "'", F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(raw), F.lit("]")), "array<string>")
+    value_type = F.when(quote.isin('"', "'"), "string").when(F.lower(raw).isin("true", "false"), "boolean").otherwise("number")
+    value = F.when(quote.isin('"', "'"), F.try_element_at(spelled, F.lit(1))).when(F.lower(raw).isin("true", "false"), F.lower(raw)).otherwise(X.plain_number(raw))
+    read = read.select("source", "name", fact_key(F.col("name")).alias("tokens"), value_type.alias("value_type"), value.alias("value"), F.nullif("unit", F.lit("")).alias("unit"))
+    qualified = (F.size("tokens") >= 2) | F.col("name").rlike("[._-]")
+    return read.where("size(tokens) > 0 and value is not null").select("source", F.array_join("tokens", " ").alias("key"), "value_type", "value", "unit", qualified.alias("qualified"))
+
+
+def constant_facts(units: DataFrame) -> DataFrame:
+    """Facts of schema units whose ``meta`` shows one distinct value (X29): as :func:`prose_facts`.
+
+    Needs meta ``schema_path`` or ``name``, ``types`` and ``values`` (JSON texts); types are all numeric, or string, or boolean.
+    """
+    meta = lambda key: F.get_json_object("meta", f"$.{key}")
+    read = units.where("modality = 'schema'").select(
+        "source", F.coalesce(meta("schema_path"), meta("name")).alias("name"), F.from_json(meta("types"), "array<string>").alias("types"), F.from_json(meta("values"), "array<string>").alias("values"),
+    )
+    types = F.array_remove("types", "null")
+    one = F.try_element_at("values", F.lit(1))
+    kind = F.when((F.size(types) > 0) & F.forall(types, lambda t: t.isin("integer", "number")), "number").when(types == F.array(F.lit("string")), "string").when(types == F.array(F.lit("boolean")), "boolean")
+    value = F.when(kind == "number", X.plain_number(one)).when(kind == "string", F.try_element_at(F.from_json(F.concat(F.lit("["), one, F.lit("]")), "array<string>"), F.lit(1))).otherwise(F.lower(one))
+    tokens = fact_key(F.col("name"))
+    facts = read.where("name is not null and size(values) = 1").select("source", tokens.alias("tokens"), kind.alias("value_type"), value.alias("value"), F.col("name").rlike(r"^[$/]").alias("rooted"))
+    facts = facts.where("value_type is not null and value is not null and size(tokens) > 0 and not (value_type = 'string' and endswith(value, '…'))")
+    return facts.select("source", F.array_join("tokens", " ").alias("key"), "value_type", "value", F.lit(None).cast("string").alias("unit"), (F.col("rooted") | (F.size("tokens") >= 2)).alias("qualified"))
+
+
+def contradictions(facts: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """Facts on which two sources differ (J10, J11, P14, G18): (key, left, right, left_value, right_value, value_type, unit, context).
+
+    A key has two tokens at least. A source that states several values for a key is ambiguous there and is left
+    out. Values differ in type and unit alike only. The sources are ``related(left, right)`` by another signal, or both
+    facts are qualified and the key has two telling tokens. Sources that agree make no pairs: a source meets those of other values only.
+    """
+    telling = F.size(F.filter(F.split("key", " "), lambda t: ~t.isin(*V.COMMON_WORDS))) >= 2
+    single = facts.where("key like '% %'").groupBy("key", "source").agg(
+        F.count_distinct(F.struct("value_type", "value", "unit")).alias("n"), F.min(F.struct("value_type", "value", "unit")).alias("f"), F.max("qualified").alias("qualified")
+    ).where("n = 1").select("key", "source", "f.*", "qualified", telling.alias("telling"))
     a, b = single.alias("a"), single.alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.value_type") == F.col("b.value_type")) & (F.col("a.source") < F.col("b.source")) & (F.col("a.value") != F.col("b.value"))
-    return a.join(b, on).select(F.col("a.key").alias("key"), F.col("a.source").alias("left"), F.col("b.source").alias("right"), F.col("a.value").alias("left_value"), F.col("b.value").alias("right_value"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.value_type") == F.col("b.value_type")) & F.col("a.unit").eqNullSafe(F.col("b.unit")) & (F.col("a.source") < F.col("b.source")) & (F.col("a.value") != F.col("b.value"))
+    met = a.join(b, on).select(
+        F.col("a.key").alias("key"), F.col("a.source").alias("left"), F.col("b.source").alias("right"), F.col("a.value").alias("left_value"), F.col("b.value").alias("right_value"), F.col("a.value_type").alias("value_type"), F.col("a.unit").alias("unit"),
+        (F.col("a.qualified") & F.col("b.qualified") & F.col("a.telling")).alias("specific"),
+    )
+    if related is None:
+        met = met.withColumn("near", F.lit(False))
+    else:
+        pairs = related.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct().withColumn("near", F.lit(True))
+        met = met.join(pairs, ["left", "right"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    context = F.when(F.col("near"), "accepted-cross-source-relation").otherwise("exact-qualified-specific-key")
+    return met.where("near or specific").select("key", "left", "right", "left_value", "right_value", "value_type", "unit", context.alias("context"))
 
 
 def orphans(sources: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +46,7 @@ def column_profile(df: DataFrame, source: str, exact_distinct: bool = True) -> D
         c, kind = F.col(f"`{f.name}`"), _kind(f.dataType)
         numeric, text, flat = kind in ("integer", "number"), kind == "string", kind not in ("array", "object")
         finite = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c) if kind == "number" and not isinstance(f.dataType, T.DecimalType) else c
-        distinct = (F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)) if flat else F.lit(None).cast("long")
+        distinct = F.approx_count_distinct(c) if flat and not exact_distinct else F.lit(None).cast("long")
         none = F.lit(None).cast("double")
         parts.append(
             F.struct(
@@ -56,6 +59,8 @@ def column_profile(df: DataFrame, source: str, exact_distinct: bool = True) -> D
         )
     wide = df.agg(*[p.alias(f"_{i}") for i, p in enumerate(parts)])
     rows = wide.select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(parts))])).alias("r")).select("r.*")
+    if exact_distinct:
+        rows = rows.drop("d").join(F.broadcast(_distinct(df, V.MAX_DISTINCT)), "position", "left")  # a row for each column
     d = F.col("d")
     return rows.select(
         "source", "position", "column", "type", "seen", "nulls", F.least(d, F.lit(V.MAX_DISTINCT + 1)).alias("n_distinct"), (d > V.MAX_DISTINCT).alias("distinct_overflow"),
@@ -63,6 +68,30 @@ def column_profile(df: DataFrame, source: str, exact_distinct: bool = True) -> D
     )
 
 
+def _distinct(df: DataFrame, most: int) -> DataFrame:
+    """(position, d): distinct values of each flat column, those beyond ``most`` counted as ``most`` + 1.
+
+    Each partition keeps the least ``most`` + 1 hashes of a column's values, and so does what adds them up, so a column
+    moves some hundred numbers for each partition however many values it has. Up to ``most`` the count is exact
+    (64-bit hashes of so few values differ).
+    """
+    flat = [(i, f) for i, f in enumerate(df.schema) if _kind(f.dataType) not in ("array", "object")]
+    if not flat:
+        return df.sparkSession.createDataFrame([], "position int, d long")
+    hashes = df.select(*[F.when(F.col(f"`{f.name}`").isNotNull(), F.xxhash64(F.lit(7), F.col(f"`{f.name}`"))).alias(f"_{i}") for i, f in flat])
+    names = [f"_{i}" for i, _ in flat]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {n: np.zeros(0, np.int64) for n in names}
+        for b in batches:
+            for n, col in zip(names, b.columns, strict=True):
+                kept[n] = np.unique(np.concatenate([kept[n], col.drop_null().to_numpy(zero_copy_only=False)]))[: most + 1]
+        yield pa.RecordBatch.from_arrays([pa.array([int(n[1:]) for n in names], pa.int32()), pa.array([v.tolist() for v in kept.values()], pa.list_(pa.int64()))], names=["position", "least"])
+
+    each = hashes.mapInArrow(least, "position int, least array<long>").select("position", F.explode("least").alias("h"))
+    return each.groupBy("position").agg(F.least(F.count_distinct("h"), F.lit(most + 1)).alias("d"))
+
+
 def schema_rows(frames: dict[str, DataFrame]) -> DataFrame:
     """(source, position, column, type) of several tables, from their schemas alone."""
     spark = next(iter(frames.values())).sparkSession

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEVELS = 6
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, start, content): lines with their first character's offset."""
-    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(key, "line", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0)).alias("start"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = pc.split_pattern(b.column(1).cast(pa.large_string()), "\n")
+            row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64)
+            content = split.flatten()
+            size = pc.utf8_length(content).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            first = np.r_[True, row[1:] != row[:-1]][: len(row)]
+            of = np.cumsum(first) - 1
+            head = np.flatnonzero(first)
+            start = np.cumsum(size) - size
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((np.arange(len(row)) - head[of]).astype(np.int32)), pa.array(start - start[head][of]), content.cast(pa.string())], names=[key, "line", "start", "content"])
+
+    # lengths are summed up within the row, so no line moves
+    return docs.select(key, F.col(text)).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("line", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("content", T.StringType())]))
 
 
 def paragraphs(numbered: DataFrame, key: str) -> DataFrame:

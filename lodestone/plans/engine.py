@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions import values as V
-from lodestone.operators import fusion
+from lodestone.operators import fusion, selection
 from lodestone.sources import files, formats
 
 
@@ -30,34 +31,90 @@ def containment(units: DataFrame) -> DataFrame:
     return units.select("source", "parent", F.col("unit_id").alias("dst")).join(u, ["source", "parent"]).select("src", "dst", F.lit("describes").alias("kind"), F.lit(1.0).alias("confidence"))
 
 
-def acquire(spark: SparkSession, path: str, extra: dict[str, Callable] | None = None) -> Evidence:
-    """Read all files below a path, archives included.
+def acquire(
+    spark: SparkSession, path: str | list[str], extra: dict[str, Callable] | None = None, most_files: int | None = None, most_each: int | None = None, most_total: int | None = None,
+    connectors: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None,
+) -> Evidence:
+    """Read all files below some paths, archives included.
 
-    ``extra`` registers readers of further kinds (E1); they are named explicitly, never discovered.
+    A path given twice, or one that holds another, is an error. ``extra`` registers readers of further kinds (E1) and
+    ``connectors`` what reads ``scheme:rest`` as (source, content) rows (A15, E2); both are named explicitly, never discovered.
+    ``most_*`` are limits of admission in the order of names: what they decline is a source with a reason (A13). A database with a
+    non-empty side file of unfinished writes is declined and not read (A16).
     """
     formats.READERS.update(extra or {})
-    found = files.scan(spark, path).withColumn("kind", files.kind_of(F.col("source"), F.col("content")))
+    paths = [path] if isinstance(path, str) else list(path)
+    own = [p.rstrip("/") for p in paths]
+    if any(i != k and (a == b or a.startswith(f"{b}/")) for i, a in enumerate(own) for k, b in enumerate(own)):
+        raise ValueError("a source is given twice")
+    parts = []
+    for p in paths:
+        scheme = p.split(":", 1)[0]
+        if connectors and scheme in connectors:
+            rows = connectors[scheme](spark, p).select("source", F.length("content").cast("long").alias("bytes"), "content")
+            parts.append(rows.withColumn("sha256", F.sha2("content", 256)))
+        else:
+            parts.append(files.scan(spark, p))
+    found = reduce(DataFrame.unionByName, parts).withColumn("kind", files.kind_of(F.col("source"), F.col("content")))
+    reason = F.lit(None).cast("string")
+    if most_files or most_each or most_total:
+        none = 1 << 62
+        listed = selection.admit(found.select("source", "bytes").withColumn("_c", F.lit(0)), "_c", [F.col("source")], "bytes", most_files or (1 << 31) - 1, most_each or none, most_total or none)
+        found = found.join(listed.select("source", F.nullif("status", F.lit("admitted")).alias("declined")), "source", "left")
+        reason = F.col("declined")
+    dirty = files.unclean_databases(found.select("source", "bytes")).withColumn("dirty", F.lit(True))
+    found = found.join(dirty, "source", "left").withColumn("reason", F.coalesce(reason, F.when(F.col("dirty"), "unclean-database")))
+    held = found.where("reason is not null").select("source", "bytes", "sha256", "kind", F.lit("declined").alias("status"), "reason")
+    found = found.where("reason is null").select("source", "bytes", "content", "sha256", "kind")
     inner = files.members(found.where("kind in ('zip', 'tar', 'gzip')"))
     opened = inner.where("reason is null").select("source", "bytes", "content", "sha256").withColumn("kind", files.kind_of(F.col("source"), F.col("content")))
-    plain = found.where("kind not in ('zip', 'tar', 'gzip')").unionByName(opened, allowMissingColumns=True)
+    plain = found.where("kind not in ('zip', 'tar', 'gzip')").unionByName(opened)
     units = formats.extract(plain).withColumn("unit_id", X.framed_id(F.col("source"), F.col("ref"), F.col("modality"), F.col("content")))
     declined = inner.where("reason is not null").select("source", "bytes", "sha256", F.lit(None).cast("string").alias("kind"), F.lit("declined").alias("status"), "reason")
     ok = plain.select("source", "bytes", "sha256", "kind", F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("reason"))
-    return Evidence(ok.unionByName(declined), units)
+    return Evidence(ok.unionByName(declined).unionByName(held), units)
 
 
-def fuse(evidence: Evidence) -> DataFrame:
-    """(signal, left, right, confidence): references, shared identifiers and alike tables across sources."""
+def references(evidence: Evidence) -> DataFrame:
+    """Every literal reference of a collection with its outcome."""
+    meta = lambda key: F.get_json_object("meta", f"$.{key}")
+    u = evidence.units
+    refs = u.where("modality = 'reference'").select("source", "ref", F.coalesce(meta("target"), F.col("content")).alias("target"), F.coalesce(meta("ref_kind"), F.lit("unknown")).alias("kind")).distinct()
+    labels = u.select("source", "unit_id", F.explode(F.from_json(meta("labels"), "array<string>")).alias("label"))
+    named = labels.select(F.concat(F.lit("label:"), "label").alias("key"), F.col("source").alias("target_source"), F.col("unit_id").alias("unit"))
+    return fusion.resolve_references(refs, fusion.source_identities(evidence.sources.where("status = 'extracted'")).unionByName(named))
+
+
+def analyze(evidence: Evidence) -> dict[str, DataFrame]:
+    """All signals across sources: ``matches`` (signal, left, right, confidence), ``references`` and ``contradictions``.
+
+    References, shared identifiers and alike tables first; facts contradict where those relate their sources, or where their keys say enough.
+    """
     meta = lambda key: F.get_json_object("meta", f"$.{key}")
     u = evidence.units
-    ids = u.where("modality <> 'reference'").select(F.try_element_at(F.split("source", "/"), F.lit(-1)).alias("target"), F.col("source").alias("target_source"), F.lit("file").alias("unit")).distinct()
-    refs = u.where("modality = 'reference'").select("source", "ref", F.try_element_at(F.split(meta("target"), "/"), F.lit(-1)).alias("target"), F.coalesce(meta("ref_kind"), F.lit("path")).alias("kind")).where("target is not null")
-    literal = fusion.resolve(refs, ids).where("status = 'resolved'").select(F.lit("literal").alias("signal"), F.col("source").alias("left"), F.col("target_source").alias("right"), F.lit(0.95).alias("confidence")).distinct()
+    met = references(evidence)
+    literal = met.where("status = 'resolved'").select(F.lit("literal").alias("signal"), F.col("source").alias("left"), F.col("target_source").alias("right"), "confidence").distinct()
     named = u.where("modality = 'schema'").select("source", F.coalesce(meta("name"), X.last_segment(meta("schema_path"))).alias("column"), F.lit("string").alias("type")).where("column is not null").distinct()
     n_sources = evidence.sources.where("status = 'extracted'").select(F.count_distinct("source"))
     shared = fusion.identifier_matches(u, n_sources).select(F.lit("identifier").alias("signal"), "left", "right", "confidence")
     alike = fusion.structural_pairs(named).where("status = 'accepted'").select(F.lit("structural").alias("signal"), "left", "right", "confidence")
-    return literal.unionByName(shared).unionByName(alike)
+    matches = literal.unionByName(shared).unionByName(alike)
+    prose = u.where("modality = 'prose'").select("source", F.explode(F.split("content", "\n")).alias("content"))
+    facts = fusion.prose_facts(prose, "source").unionByName(fusion.constant_facts(u))
+    return {"matches": matches, "references": met, "contradictions": fusion.contradictions(facts, matches.select("left", "right"))}
+
+
+def fuse(evidence: Evidence) -> DataFrame:
+    """(signal, left, right, confidence): references, shared identifiers and alike tables across sources.
+
+    What is shipped (P5): of identifiers those that both sources name themselves (mentions in content have a confidence of 0.82), and no contradictions; :func:`analyze` has all.
+    """
+    return analyze(evidence)["matches"].where("signal <> 'identifier' or confidence >= 0.9")
+
+
+def open_references(evidence: Evidence) -> DataFrame:
+    """References that nothing resolves and that are reported (P5, J2): local paths that no source has."""
+    return references(evidence).where("branch = 'path' and status = 'unresolved'").select("source", "ref", "target")
 
 
 def statements(evidence: Evidence, fused: DataFrame) -> DataFrame:

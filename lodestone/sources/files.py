@@ -17,12 +17,15 @@ SUFFIXES = {
     "csv": "csv", "tsv": "tsv tab", "python": "py pyi", "html": "html htm xhtml", "docx": "docx", "epub": "epub", "notebook": "ipynb", "latex": "tex latex", "xlsx": "xlsx xlsm",
     "parquet": "parquet pq", "sqlite": "sqlite sqlite3 db", "duckdb": "duckdb ddb", "npy": "npy", "npz": "npz", "arrow": "arrow feather ipc", "orc": "orc", "fits": "fits fit fts", "zip": "zip", "tar": "tar tgz",
 }
-DECLINED = {"pdf": "pdf", "hdf5": "h5 hdf5", "netcdf": "nc cdf", "code": "c cc cpp cs go h hpp java js jsx kt lua php pl r rb rs scala sh sql swift ts tsx zig"}
+DECLINED = {"pptx": "pptx", "pdf": "pdf", "hdf5": "h5 hdf5", "netcdf": "nc cdf", "code": "c cc cpp cs go h hpp java js jsx kt lua php pl r rb rs scala sh sql swift ts tsx zig"}
 # First bytes (hex) of binary formats.
 MAGIC = {
     "parquet": "50415231", "sqlite": "53514C69746520666F726D6174203300", "npy": "934E554D5059", "arrow": "4152524F5731", "orc": "4F5243", "pdf": "255044462D", "hdf5": "894844460D0A1A0A", "netcdf": "434446",
-    "fits": "53494D504C4520203D", "gzip": "1F8B",
+    "fits": "53494D504C4520203D", "gzip": "1F8B", "feather-v1": "46454131",
 }
+# Last bytes (hex) of formats that also end with a mark, and members that tell kinds of ZIP containers.
+TAIL_MAGIC = {"parquet": "50415231$", "arrow": "4152524F5731$", "orc": "4F5243..$"}
+ZIP_MEMBERS = {"xlsx": "xl/workbook.xml", "docx": "word/document.xml", "pptx": "ppt/presentation.xml", "epub": "mimetypeapplication/epub+zip"}
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -49,15 +52,20 @@ def suffix_kind(source: Column) -> Column:
 
 def kind_of(source: Column, content: Column, hint: Column | None = None) -> Column:
     """Kind of a file (D1): strong signature, then hint, then name ending, then a look at the text."""
-    head = F.hex(F.substring(content, 1, 16))
+    head, tail = F.hex(F.substring(content, 1, 16)), F.hex(F.substring(content, -8, 8))
     strong = F.lit(None).cast("string")
     for name, magic in MAGIC.items():
-        strong = F.when(head.startswith(magic), name).otherwise(strong)
+        here = head.startswith(magic)
+        if name in TAIL_MAGIC:  # a whole file also ends so
+            here = here & tail.rlike(TAIL_MAGIC[name])
+        strong = F.when(here, name).otherwise(strong)
     strong = F.when(F.hex(F.substring(content, 9, 4)) == "4455434B", "duckdb").otherwise(strong)
     text = F.when(F.is_valid_utf8(content.cast("string")) & ~F.substring(content, 1, 4096).cast("string").rlike(r"[\x00-\x08\x0e-\x1f]"), F.substring(content, 1, 4096).cast("string"))
     start = F.ltrim(text)
     weak = F.when(F.lower(start).rlike("^<!doctype html|^<html"), "html").when(start.startswith("<?xml"), "xml").when(F.try_parse_json(text).isNotNull() & start.rlike(r"^[{\[]"), "json").when(text.isNotNull(), "text")
-    zipped = F.when(head.startswith("504B0304"), F.coalesce(suffix_kind(source), F.lit("zip")))
+    # names of members stand in a ZIP container as they are
+    inside = F.array_compact(F.array(*[F.when(F.contains(content, F.lit(mark.encode())), name) for name, mark in ZIP_MEMBERS.items()]))
+    zipped = F.when(head.startswith("504B0304"), F.when(F.size(inside) == 1, inside[0]).when(F.size(inside) > 1, "ambiguous").otherwise(F.coalesce(suffix_kind(source), F.lit("zip"))))
     return F.coalesce(strong, zipped, *([hint] if hint is not None else []), suffix_kind(source), weak, F.lit("unknown"))
 
 

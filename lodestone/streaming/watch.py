@@ -29,24 +29,36 @@ def last_run(spark: SparkSession, store: str) -> int:
     return spark.read.parquet(f"{store}/runs").agg(F.max("run")).first()[0] or 0
 
 
-def run_once(spark: SparkSession, root: str, store: str, quiet_seconds: int = 0) -> dict[str, int]:
+def run_once(spark: SparkSession, root: str, store: str, quiet_seconds: int = 0, idle: bool = True) -> dict[str, int]:
     """One pass: extract what is new or changed, forget what is gone; the run's counts.
 
-    Files that changed within the last ``quiet_seconds`` wait for a later pass (T2, T3).
+    The folder is listed first; only files whose length or time differ from the last run's are opened (T1). Files that changed within
+    the last ``quiet_seconds`` wait for a later pass (T2, T3). With ``idle`` false a pass that finds nothing to do leaves no run.
     """
     n = last_run(spark, store)
     run = n + 1
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) if _exists(spark, root) else spark.createDataFrame([], LISTING)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")  # files may go while a pass runs
+    seen = there.load(root) if _exists(spark, root) else spark.createDataFrame([], LISTING)
     seen = seen.where(~F.col("path").rlike(r"/[._][^/]*$"))
     settled = F.col("modificationTime") <= F.expr(f"current_timestamp() - interval {int(quiet_seconds)} seconds")
-    now = seen.select("path", F.sha2("content", 256).alias("hash"), settled.alias("settled"))
-    before = spark.read.parquet(f"{store}/files/run={n}") if n else spark.createDataFrame([], "path string, hash string")
-    # a file that is still being written keeps its old entry, if it has one
-    held = now.where("not settled").join(before.withColumnRenamed("hash", "old"), "path", "left").select("path", F.col("old").alias("hash")).where("hash is not null")
-    current = now.where("settled").select("path", "hash").unionByName(held)
-    current.write.mode("overwrite").parquet(f"{store}/files/run={run}")
+    listing = seen.select("path", "length", F.col("modificationTime").alias("modified"), settled.alias("settled"))
+    before = spark.read.parquet(f"{store}/files/run={n}") if n else spark.createDataFrame([], "path string, hash string, length long, modified timestamp")
+    old = before.select("path", F.col("hash").alias("old"), F.col("length").alias("old_length"), F.col("modified").alias("old_modified"))
+    listed = listing.join(old, "path", "left").withColumn("touched", F.col("old").isNull() | (F.col("length") != F.col("old_length")) | (F.col("modified") != F.col("old_modified")))
+    listed = listed.withColumn("open", F.col("touched") & F.col("settled")).cache()  # a row for each file
+    try:
+        todo = listed.where("open").count()
+        gone = before.join(listing.select("path"), "path", "left_anti").count()
+        if not idle and not todo and not gone:
+            return {"run": n, "added": 0, "changed": 0, "unchanged": listed.where("old is not null").count(), "removed": 0, "failed": 0}
+        hashed = seen.join(listed.where("open").select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("hash"), "length", F.col("modificationTime").alias("modified"))
+        # a file that is still being written keeps its old entry, if it has one
+        kept = listed.where("not open and old is not null").select("path", F.col("old").alias("hash"), F.col("old_length").alias("length"), F.col("old_modified").alias("modified"))
+        kept.unionByName(hashed).write.mode("overwrite").parquet(f"{store}/files/run={run}")
+    finally:
+        listed.unpersist()
     current = spark.read.parquet(f"{store}/files/run={run}")
-    change = merge_listing(before, current)
+    change = merge_listing(before.select("path", "hash"), current.select("path", "hash"))
     fresh = seen.join(change.where("change in ('added', 'changed')").select("path"), "path", "left_semi").select(F.col("path").alias("source"), "content")
     units = formats.extract(fresh.withColumn("kind", files.kind_of(F.col("source"), F.col("content"))))
     units.write.mode("overwrite").parquet(f"{store}/units/run={run}")
@@ -71,8 +83,22 @@ def latest_units(spark: SparkSession, store: str) -> DataFrame:
     return units.join(newest, ["source", "run"], "left_semi").join(here, "source", "left_semi")
 
 
-def watch(spark: SparkSession, root: str, store: str, checkpoint: str, quiet_seconds: int = 30, once: bool = False):
-    """A streaming query that makes a pass whenever files arrive (T1, T8); ``once`` ends after what is there."""
-    stream = spark.readStream.format("binaryFile").schema(LISTING).option("recursiveFileLookup", "true").load(root).select("path")
-    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: run_once(df.sparkSession, root, store, 0 if once else quiet_seconds))
-    return (query.trigger(availableNow=True) if once else query.trigger(processingTime=f"{quiet_seconds} seconds")).start()
+def errors(spark: SparkSession, store: str, most: int = 20) -> DataFrame:
+    """The last ``most`` files that a reader refused, newest runs first (T11): (run, source, content)."""
+    units = spark.read.parquet(f"{store}/units").where((F.col("run") <= last_run(spark, store)) & (F.col("modality") == "gap") & F.col("content").startswith("extraction-error"))
+    return units.select("run", "source", "content").orderBy(F.desc("run"), "source", "content").limit(most)
+
+
+def watch(spark: SparkSession, root: str, store: str, checkpoint: str, quiet_seconds: int = 30, once: bool = False, poll_seconds: int = 1):
+    """A streaming query that makes passes (T1, T8): one whenever the folder differs; ``once`` ends after what is there.
+
+    A clock drives it, not the arrival of files, so a file that has just settled and one that was deleted are seen without any other
+    arriving. A poll lists the folder; it opens nothing and leaves no run where nothing differs.
+    """
+    if once:
+        stream = spark.readStream.format("binaryFile").schema(LISTING).option("recursiveFileLookup", "true").load(root).select("path")
+        query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: run_once(df.sparkSession, root, store))
+        return query.trigger(availableNow=True).start()
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    query = clock.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: run_once(df.sparkSession, root, store, quiet_seconds, idle=False))
+    return query.trigger(processingTime=f"{poll_seconds} seconds").start()

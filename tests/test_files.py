@@ -84,6 +84,24 @@ def test_binary_formats(tmp_path):
         units("fits", head)
 
 
+def test_workbook_sheets_by_relationship():
+    """Sheets are parts by their relationships; inputs on other sheets count; labels stand left within three columns, else above."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda at, v=None, f=None: f'<c r="{at}" t="{"str" if isinstance(v, str) and not f else "n"}">' + (f"<f>{f}</f>" if f else "") + (f"<v>{v}</v>" if v is not None else "") + "</c>"
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sum up" r:id="rId2"/><sheet name="Model" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + cell("A1", "Rate") + cell("B1", 450) + cell("C1", "Price") + cell("C2", 7) + "</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData>' + cell("A1", "Total") + cell("B1", 2741, "SUM(Model!$B$1:C2)*0.87") + cell("B2", 2742, "B1+1") + "</sheetData></worksheet>")
+    got = [(u[0], u[1], u[2]) for u in units("xlsx", b.getvalue())]
+    assert got == [
+        ("table", 'Sheet "Sum up": 3 cell(s), 2 formula(s).', "sheet:Sum up"), ("record", "Total =SUM(Model!$B$1:C2)*0.87 -> 2741", "cell:Sum up!B1"),
+        ("gap", "Sum up!B1 has 0.87 in its formula and not in a cell of its own", "cell:Sum up!B1"), ("record", "B2 =B1+1 -> 2742", "cell:Sum up!B2"),
+        ("table", 'Sheet "Model": 4 cell(s), 0 formula(s).', "sheet:Model"), ("record", "Rate = 450", "cell:Model!B1"), ("record", "Price = 7", "cell:Model!C2"),
+    ]
+
+
 def test_workbook():
     b = io.BytesIO()
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -144,6 +162,35 @@ def test_engine(spark, folder):
     assert "notes.md" in engine.render_markdown(e.units) and engine.render_jsonl(e).count() == e.units.count()
 
 
+def test_references_by_kind(spark):
+    rows = [
+        ("/c/docs/a.md", "markdown", b"[d](data.csv) [up](../data.csv) [far](https://other.org/x/data.csv) [home](HTTP://Site.org:80/p/%7Eq#x) [gone](nowhere.csv) [dup](same.txt)"),
+        ("/c/data.csv", "csv", b"x\n1\n"), ("/c/other/same.txt", "text", b"one"), ("/c/third/same.txt", "text", b"two"), ("http://site.org/p/~q", "html", b"<p>hello</p>"),
+    ]
+    e = engine.from_records(spark, rows)
+    got = {r["target"]: (r["status"], r["target_source"], r["confidence"]) for r in engine.references(e).collect()}
+    assert got == {
+        "data.csv": ("resolved", "/c/data.csv", 0.95), "../data.csv": ("resolved", "/c/data.csv", 1.0), "https://other.org/x/data.csv": ("external-reference", None, None),
+        "HTTP://Site.org:80/p/%7Eq#x": ("resolved", "http://site.org/p/~q", 1.0), "nowhere.csv": ("unresolved", None, None), "same.txt": ("ambiguous-target", None, None),
+    }
+    assert [r["target"] for r in engine.open_references(e).collect()] == ["nowhere.csv"]
+
+
+def test_admission_connectors_and_unclean_databases(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    for name, n in (("a.txt", 5), ("b.txt", 50), ("c.txt", 5), ("d.db", 5), ("d.db-wal", 3), ("e.db", 5), ("e.db-wal", 0)):
+        (root / name).write_bytes(b"x" * n)
+    got = {r["source"].rpartition("/")[2]: r["reason"] for r in engine.acquire(spark, str(root), most_each=20).sources.collect()}
+    assert got == {"a.txt": None, "b.txt": "declined-bytes", "c.txt": None, "d.db": "unclean-database", "d.db-wal": None, "e.db": None}  # an empty file has no row
+    own = {"mem": lambda s, p: s.createDataFrame([("mem:one.md", bytearray(b"# One"))], "source string, content binary")}
+    e = engine.acquire(spark, [str(root), "mem:all"], connectors=own)
+    assert e.units.where("content = 'One'").count() == 1
+    for twice in ([str(root), str(root)], [str(root), f"{root}/a.txt"]):
+        with pytest.raises(ValueError, match="twice"):
+            engine.acquire(spark, twice)
+
+
 def test_only_catalogs_are_limited(spark):
     n = 5000
     sheet = io.BytesIO()
@@ -162,8 +209,10 @@ def test_identifiers_in_code_and_prose(spark):
         ("a.csv", "csv", b"capacity_mah,name\n1,2\n"), ("b.md", "markdown", b"# Notes\n\nThe capacity mah of a cell.\n"), ("c.py", "python", b"def getCapacityMah():\n    return 1\n"),
         ("d.json", "json", b'{"rocket": {"thrust_level": 1}}'), ("e.json", "json", b'{"boat": {"thrust_level": 1}}'), ("f.md", "markdown", b"Here mah capacity and thrust level.\n"),
     ]
-    got = {(r["left"], r["right"], r["confidence"]) for r in engine.fuse(engine.from_records(spark, rows)).where("signal = 'identifier'").collect()}
-    assert got == {("a.csv", "b.md", 0.82), ("a.csv", "c.py", 0.9)}
+    e = engine.from_records(spark, rows)
+    named = lambda df: {(r["left"], r["right"], r["confidence"]) for r in df.where("signal = 'identifier'").collect()}
+    assert named(engine.analyze(e)["matches"]) == {("a.csv", "b.md", 0.82), ("a.csv", "c.py", 0.9)}
+    assert named(engine.fuse(e)) == {("a.csv", "c.py", 0.9)}  # mentions are no shipped signal
 
 
 def test_identifier_spread_is_rounded_up(spark):
@@ -171,6 +220,34 @@ def test_identifier_spread_is_rounded_up(spark):
     assert fusion.identifier_correspondence(tables(11)).count() == 10 and fusion.identifier_correspondence(tables(12)).count() == 0
 
 
+def test_watch_sees_late_and_gone_files(spark, tmp_path):
+    """A lone file is read once it has settled, and a deletion is seen, without any other file arriving."""
+    import time
+
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    root.mkdir()
+    (root / "one.md").write_text("# One")
+    query = watch.watch(spark, str(root), store, str(tmp_path / "ck"), quiet_seconds=3)
+
+    def until(what):
+        end = time.time() + 90
+        while time.time() < end:
+            if query.exception():
+                raise query.exception()
+            if watch._exists(spark, f"{store}/runs") and what(watch.status(spark, store)[0].first()):
+                return True
+            time.sleep(1)
+        return False
+
+    try:
+        assert until(lambda r: r["added"] == 1)
+        (root / "one.md").unlink()
+        assert until(lambda r: r["removed"] == 1)
+    finally:
+        query.stop()
+    assert watch.status(spark, store)[0].count() == 2  # polls that found nothing left no run
+
+
 def test_watch(spark, folder, tmp_path):
     store = str(tmp_path / "store")
     counts = lambda: {k: v for k, v in watch.run_once(spark, str(folder), store).items() if v}

@@ -86,6 +86,6 @@ def test_depths_over_all_links(spark):
     for depth in (1, 2, 3):
         front = {q for p in front for href in pages[p] for q in holders[href]} - set(want)
         want |= dict.fromkeys(front, depth)
-    got = catalog.queries()["link_bfs_depth_all"](spark, sf).collect()
+    got = catalog.queries()["link_bfs_depth"](spark, sf).collect()
     assert {r["node"]: r["depth"] for r in got} == want and len(got) == len(want)
     assert len(want) > catalog.queries()["link_bfs_depth"](spark, sf).count()
