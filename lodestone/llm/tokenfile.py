@@ -128,9 +128,30 @@ class Reader:
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """A path's store and its name there; Hadoop's names of S3 stand for the store's own."""
+    for name in ("s3a://", "s3n://"):
+        path = f"s3://{path.removeprefix(name)}" if path.startswith(name) else path
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
+def _put(store: fs.FileSystem, draft: str, name: str) -> None:
+    """Move a file to its place. Where a store refuses to replace one, it is another attempt's at the same rows and stays."""
+    try:
+        store.move(draft, name)
+    except OSError:
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(draft)
+
+
+def _sweep(path: str) -> None:
+    """Delete drafts that lost executors left."""
+    store, root = _file_system(path)
+    for found in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("."):
+            store.delete_file(found.path)
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> list[tuple[str, int, int]]:
     """Write the ids of all texts in ascending doc_id order; (file, documents, ids) of each file in that order.
 
@@ -157,7 +178,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         if out is not None:
             out.close()
             stream.close()
-            store.move(draft, f"{root}/part-{part:06d}.tok")
+            _put(store, draft, f"{root}/part-{part:06d}.tok")
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(out.ids)], pa.int64()), "n": pa.array([count], pa.int64())})
 
     rows = (
@@ -167,6 +188,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         .mapInArrow(write, "part int, docs long, n long")
         .collect()
     )
+    _sweep(path)
     return [(f"{path}/part-{r['part']:06d}.tok", r["docs"], r["n"]) for r in sorted(rows, key=lambda r: r["part"])]
 
 

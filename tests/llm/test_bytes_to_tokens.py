@@ -226,3 +226,24 @@ def test_neighbours_against_brute_force(spark, per_part):
         kinds = set(values)
         want = [(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count(), 2 if b == values[3] else 1) for a in kinds for b in kinds if (a ^ b).bit_count() <= radius]
         assert sorted(got) == sorted(want)
+
+
+def test_a_second_attempt_keeps_the_first_file(tmp_path):
+    """Stores that don't replace files keep the first attempt's; drafts of lost executors are swept."""
+    from pyarrow import fs
+
+    class Strict(fs.LocalFileSystem):
+        def move(self, src, dest):
+            if self.get_file_info(dest).type == fs.FileType.File:
+                raise OSError("exists")
+            super().move(src, dest)
+
+    (tmp_path / ".one").write_text("x")
+    (tmp_path / ".two").write_text("x")
+    (tmp_path / ".lost").write_text("x")
+    for draft in (".one", ".two"):
+        tokenfile._put(Strict(), f"{tmp_path}/{draft}", f"{tmp_path}/part.tok")
+    with pytest.raises(OSError):
+        tokenfile._put(Strict(), f"{tmp_path}/nothing", f"{tmp_path}/other.tok")
+    tokenfile._sweep(str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["part.tok"]
