@@ -113,7 +113,7 @@ def type_summary(types: Column) -> Column:
     return F.array_join(F.filter(F.array(*[F.lit(t) for t in V.TYPE_ORDER]), lambda t: F.array_contains(merged, t)), "|")
 
 
-def json_paths(records: DataFrame, json: str, levels: int = 8) -> DataFrame:
+def json_paths(records: DataFrame, json: str, levels: int = 2) -> DataFrame:
     """Leaves and containers of JSON records: (record, path, type, value), to the last level.
 
     ``*`` stands for any place in an array. A text that is no JSON, or repeats a key, is the single

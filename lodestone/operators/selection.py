@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 
 
+PARTS = 64
+
+
+def _within_parts(units: DataFrame, group: str, measure: Column, order: list[Column], most: Column | int, rows: bool) -> DataFrame:
+    """Rows of a running measure up to a bound in their part of their group, so that a large group is cut down by many tasks first."""
+    dealt = units.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    w = Window.partitionBy(group, "_part").orderBy(*order)
+    return dealt.withColumn("_m", measure.over(w.rowsBetween(Window.unboundedPreceding, 0) if rows else w)).where(F.col("_m") <= most).drop("_part", "_m")
+
+
 def semantic_rounds(units: DataFrame, source: str, order: list[Column], n_sources: int) -> DataFrame:
     """``units`` with ``round`` per source, those beyond the cap left out (W9): cap = max(4, min(16, 48 // sources))."""
     cap = max(4, min(16, 48 // max(1, n_sources)))
+    units = _within_parts(units, source, F.row_number(), order, cap, rows=False)
     return units.withColumn("round", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("round") <= cap)
 
 
 def prefix_budget(units: DataFrame, group: str, order: list[Column], size: Column, budget: int) -> DataFrame:
-    """The longest prefix of each group whose summed size fits (W13), with ``used``."""
+    """The longest prefix of each group whose summed size fits (W13), with ``used``; sizes are never below zero."""
+    # in a part of a group, what stands behind the first row beyond the budget is beyond it in the group as well
+    units = _within_parts(units, group, F.sum(size), order, F.lit(budget) + size, rows=True)
     return units.withColumn("used", F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
 
 
