@@ -16,6 +16,8 @@ from lodestone.operators.selection import merge_listing
 from lodestone.sources import files, formats
 
 LISTING = "path string, modificationTime timestamp, length long, content binary"
+RUNS = "run int, added long, changed long, unchanged long, removed long, failed long"
+FILES = "path string, hash string, length long, modified timestamp"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -26,7 +28,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def last_run(spark: SparkSession, store: str) -> int:
     if not _exists(spark, f"{store}/runs"):
         return 0
-    return spark.read.parquet(f"{store}/runs").agg(F.max("run")).first()[0] or 0
+    return spark.read.schema(RUNS).parquet(f"{store}/runs").agg(F.max("run")).first()[0] or 0
 
 
 def run_once(spark: SparkSession, root: str, store: str, quiet_seconds: int = 0, idle: bool = True) -> dict[str, int]:
@@ -42,7 +44,7 @@ def run_once(spark: SparkSession, root: str, store: str, quiet_seconds: int = 0,
     seen = seen.where(~F.col("path").rlike(r"/[._][^/]*$"))
     settled = F.col("modificationTime") <= F.expr(f"current_timestamp() - interval {int(quiet_seconds)} seconds")
     listing = seen.select("path", "length", F.col("modificationTime").alias("modified"), settled.alias("settled"))
-    before = spark.read.parquet(f"{store}/files/run={n}") if n else spark.createDataFrame([], "path string, hash string, length long, modified timestamp")
+    before = spark.read.schema(FILES).parquet(f"{store}/files/run={n}") if n else spark.createDataFrame([], FILES)
     old = before.select("path", F.col("hash").alias("old"), F.col("length").alias("old_length"), F.col("modified").alias("old_modified"))
     listed = listing.join(old, "path", "left").withColumn("touched", F.col("old").isNull() | (F.col("length") != F.col("old_length")) | (F.col("modified") != F.col("old_modified")))
     listed = listed.withColumn("open", F.col("touched") & F.col("settled")).cache()  # a row for each file
@@ -57,21 +59,26 @@ def run_once(spark: SparkSession, root: str, store: str, quiet_seconds: int = 0,
         kept.unionByName(hashed).write.mode("overwrite").parquet(f"{store}/files/run={run}")
     finally:
         listed.unpersist()
-    current = spark.read.parquet(f"{store}/files/run={run}")
+    current = spark.read.schema(FILES).parquet(f"{store}/files/run={run}")
     change = merge_listing(before.select("path", "hash"), current.select("path", "hash"))
     fresh = seen.join(change.where("change in ('added', 'changed')").select("path"), "path", "left_semi").select(F.col("path").alias("source"), "content")
     units = formats.extract(fresh.withColumn("kind", files.kind_of(F.col("source"), F.col("content"))))
     units.write.mode("overwrite").parquet(f"{store}/units/run={run}")
     counts = {r["change"]: r["n"] for r in change.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not idle and not any(counts.get(c) for c in ("added", "changed", "removed")):  # what was to be read went meanwhile
+        return {"run": n, "added": 0, "changed": 0, "unchanged": counts.get("unchanged", 0), "removed": 0, "failed": 0}
     failed = spark.read.parquet(f"{store}/units/run={run}").where("modality = 'gap' and content like 'extraction-error%'").select("source").distinct().count()
     row = [run] + [counts.get(c, 0) for c in ("added", "changed", "unchanged", "removed")] + [failed]
-    spark.createDataFrame([tuple(row)], "run int, added long, changed long, unchanged long, removed long, failed long").write.mode("append").parquet(f"{store}/runs")
+    spark.createDataFrame([tuple(row)], RUNS).write.mode("append").parquet(f"{store}/runs")
     return dict(zip(("run", "added", "changed", "unchanged", "removed", "failed"), row, strict=True))
 
 
 def status(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    """Finished runs, and the files of the last one."""
-    return spark.read.parquet(f"{store}/runs").orderBy(F.desc("run")), spark.read.parquet(f"{store}/files/run={last_run(spark, store)}")
+    """Finished runs, newest first, and the files of the last one (T11); none before the first run is finished."""
+    n = last_run(spark, store)
+    if not n:
+        return spark.createDataFrame([], RUNS), spark.createDataFrame([], FILES)
+    return spark.read.schema(RUNS).parquet(f"{store}/runs").orderBy(F.desc("run")), spark.read.schema(FILES).parquet(f"{store}/files/run={n}")
 
 
 def latest_units(spark: SparkSession, store: str) -> DataFrame:
@@ -79,7 +86,7 @@ def latest_units(spark: SparkSession, store: str) -> DataFrame:
     n = last_run(spark, store)
     units = spark.read.parquet(f"{store}/units").where(F.col("run") <= n)
     newest = units.groupBy("source").agg(F.max("run").alias("run"))
-    here = spark.read.parquet(f"{store}/files/run={n}").select(F.col("path").alias("source"))
+    here = spark.read.schema(FILES).parquet(f"{store}/files/run={n}").select(F.col("path").alias("source"))
     return units.join(newest, ["source", "run"], "left_semi").join(here, "source", "left_semi")
 
 

@@ -234,7 +234,8 @@ def test_watch_sees_late_and_gone_files(spark, tmp_path):
         while time.time() < end:
             if query.exception():
                 raise query.exception()
-            if watch._exists(spark, f"{store}/runs") and what(watch.status(spark, store)[0].first()):
+            last = watch.status(spark, store)[0].first()
+            if last and what(last):
                 return True
             time.sleep(1)
         return False
@@ -245,7 +246,8 @@ def test_watch_sees_late_and_gone_files(spark, tmp_path):
         assert until(lambda r: r["removed"] == 1)
     finally:
         query.stop()
-    assert watch.status(spark, store)[0].count() == 2  # polls that found nothing left no run
+    runs = [r.asDict() for r in watch.status(spark, store)[0].collect()]
+    assert [(r["added"], r["removed"]) for r in runs] == [(0, 1), (1, 0)], runs  # polls that found nothing left no run
 
 
 def test_watch(spark, folder, tmp_path):
