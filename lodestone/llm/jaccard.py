@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.graph import components
-from lodestone.llm.textbytes import U, chunks, column_bytes, mix, prefix, ragged, span_hash, words
+from lodestone.llm.textbytes import U, chunks, column_bytes, mix, prefix, ragged, settle, span_hash, words
 from lodestone.session import written
 
 
@@ -85,6 +85,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int = 5) -> DataFra
     xor, mul = _hash_numbers(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for b in chunks(batch, "text"):
                 g, owner, h, upto = shingles(b.column(1), size)

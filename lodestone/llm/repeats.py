@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.suffixes import suffix_arrays
-from lodestone.llm.textbytes import U, chunks, column_bytes, mix, pack, prefix, ragged, span_hash, unpack
+from lodestone.llm.textbytes import U, chunks, column_bytes, mix, pack, prefix, ragged, settle, span_hash, unpack
 from lodestone.session import written
 
 GRAM = 64
@@ -45,6 +45,8 @@ _LOW = U((1 << 48) - 1)
 HOT = 400
 #: Symbols in one lot of suffix arrays.
 LOT = 400_000
+#: Bytes of documents whose anchors are found at a time; temporary arrays take some 90 bytes for each.
+RUN = 1 << 16
 
 
 def _least(x: np.ndarray, w: int, pick=np.minimum) -> np.ndarray:
@@ -86,6 +88,17 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
     return q[ok], lo[ok], hi[ok]
 
 
+def anchors_by_runs(buf: np.ndarray, bounds: np.ndarray, length: int) -> list[np.ndarray]:
+    """:func:`anchors`, for some documents at a time: no window crosses their bounds."""
+    parts, at = [], 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + RUN, "right")) - 1)
+        own = bounds[at : to + 1]
+        parts.append([x + own[0] for x in anchors(buf[own[0] : own[-1]], own - own[0], length)])
+        at = to
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 class Block:
     def __init__(self, row: dict, buckets: int, length: int):
         self.row, self.length = row, length
@@ -160,7 +173,7 @@ def blocks(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
         t = pa.Table.from_batches(held)
         t = t.take(pc.sort_indices(t, [("doc_id", "ascending")])).combine_chunks()
         buf, bounds = column_bytes(t.column("text").chunk(0))
-        q, lo, hi = anchors(buf, bounds, length)
+        q, lo, hi = anchors_by_runs(buf, bounds, length)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(t)
@@ -173,6 +186,7 @@ def blocks(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         held, size, number = [], 0, 0
         for batch in batches:
             for b in chunks(batch, "text", block_bytes // 4):

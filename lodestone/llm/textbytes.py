@@ -9,17 +9,30 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
+from lodestone.llm import tokens
+
 # Arrays of a megabyte and more go back to the system when they are freed. By default the C library
 # raises that limit as a worker runs, and a worker that serves many stages keeps what its largest one took.
 with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
     ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
+
+def settle() -> None:
+    """For the start of a task: what a worker still holds of earlier stages, tokenizers and freed memory, goes back to the system."""
+    tokens.release()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 2**64)

@@ -74,3 +74,8 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
+
+
+def release() -> None:
+    """Let the worker's tokenizers and the words that they have seen go; the next use loads them again."""
+    _loaded.clear()

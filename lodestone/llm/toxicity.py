@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.textbytes import U, WORD, chunks, column_bytes, mix, prefix, span_hash, words
+from lodestone.llm.textbytes import U, WORD, chunks, column_bytes, mix, prefix, settle, span_hash, words
 from lodestone.session import drop, written
 
 #: Lengths of stems in bytes; a word has those that are shorter than itself.
@@ -273,6 +273,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for b in chunks(batch, text):
                 ev, spans = [], []

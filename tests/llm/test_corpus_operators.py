@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +12,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, graph, interpolation, jaccard, langid, repeats, sharding, toxicity
+from lodestone.llm import decontam, graph, interpolation, jaccard, langid, repeats, sharding, tokens, toxicity
 from lodestone.llm.queries import queries
+from lodestone.llm.textbytes import column_bytes
 from tests.llm.common import ROWS, docs, table
 
 SF = "/root/testdata/sf0.001"
@@ -100,6 +102,40 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     assert {x["doc_id"]: (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"]), bytes(x["kept"])) for x in got} == brute_repeats(rows)
 
 
+def test_anchors_are_the_same_by_runs(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "a" * 3000, *["".join(rng.choices("abcd ", k=rng.choice([0, 60, 99, 100, 101, 700]))) for _ in range(200)]]
+    buf, bounds = column_bytes(pa.array(texts))
+    want = repeats.anchors(buf, bounds, 100)
+    for run in (1, 150, 5000):
+        monkeypatch.setattr(repeats, "RUN", run)
+        starts = [{int(p) for a, b in zip(lo, hi, strict=True) for p in range(a, b + 1)} for _, lo, hi in (want, repeats.anchors_by_runs(buf, bounds, 100))]
+        assert starts[0] == starts[1] == {p for a, b in zip(bounds[:-1], bounds[1:], strict=True) for p in range(a, b - 99)}
+        assert all((x == y).all() for x, y in zip(want, repeats.anchors_by_runs(buf, bounds, 100), strict=True))
+
+
+def test_blocks_take_little_memory_and_let_tokenizers_go(monkeypatch):
+    class Here:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(repeats, "TaskContext", Task)
+    monkeypatch.setitem(tokens._loaded, "kept by an earlier stage", None)
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 4000, np.uint8).tobytes().decode() for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(600), pa.int64()), "text": texts})
+    run = repeats.blocks(Here(), 100, 2 << 20)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20 and not tokens._loaded
+
+
 def test_repeats_of_odd_rows(spark):
     df = docs(spark).withColumn("spans", F.lit("clash"))
     got = repeats.remove_repeats(df, 100).collect()
