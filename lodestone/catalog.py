@@ -258,9 +258,9 @@ def literal_resolved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def literal_ambiguous_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     used = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
-    refs = used.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.lit("lineitem").alias("source"), F.col("l_partkey").cast("string").alias("ref"), F.col("p_name").alias("target"), F.lit("label").alias("kind"))
+    refs = used.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.lit("lineitem").alias("source"), F.col("l_partkey").cast("string").alias("ref"), F.col("p_name").alias("target"), F.lit("label").alias("kind")).where("target is not null").distinct()
     ids = part.select(F.col("p_name").alias("target"), F.lit("part").alias("target_source"), F.col("p_partkey").cast("string").alias("unit"))
-    return fusion.resolve(refs, ids)
+    return fusion.resolve(refs, ids, rows=True)
 
 
 @query(f"WITH {_LINKS_SQL} SELECT k.page_id, k.at, k.href FROM k WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = k.href)")

@@ -88,3 +88,42 @@ def test_depths_over_all_links(spark):
         want |= dict.fromkeys(front, depth)
     got = catalog.queries()["link_bfs_depth"](spark, sf).collect()
     assert {r["node"]: r["depth"] for r in got} == want and len(got) == len(want)
+
+
+def most_rows(plan):
+    """The most rows that any step of a finished plan made."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.finalPhysicalPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_references_never_meet_every_unit_of_their_key(spark):
+    refs = spark.range(600).selectExpr("'a' as source", "cast(id as string) as ref", "'t' as target", "'label' as kind")
+    ids = spark.range(500).selectExpr("'t' as target", "'b' as target_source", "cast(id as string) as unit")
+    by_kind = fusion.resolve_references(refs, ids.selectExpr("concat('label:', target) as key", "target_source", "unit"))
+    for out in (fusion.resolve(refs, ids), by_kind):
+        rows = out.collect()
+        assert len(rows) == 600 and {r["status"] for r in rows} == {"ambiguous-target"}
+        assert most_rows(out._jdf.queryExecution().executedPlan()) <= 1200
+
+
+def test_resolution_against_every_pair(spark):
+    """References and identities of few values, with nulls and repeated rows, against a program that looks at every pair."""
+    import random
+
+    rng = random.Random(7)
+    some = lambda values: rng.choice([*values, None])
+    kinds = ["label", "path", "url"]
+    for _ in range(3):
+        refs = [(some("abc"), str(i // 2), some("stuvwxyz"), kinds[i // 2 % 3]) for i in range(160)]
+        refs += refs[:20]
+        ids = [(some("stuvw"), some("abcd"), some("123")) for _ in range(18)]
+        want = []
+        for source, ref, target, kind in refs:
+            hits = {(s, u) for t, s, u in ids if t is not None and t == target and s is not None and source is not None}
+            own, other = sorted((h for h in hits if h[0] == source), key=lambda h: h[1] or ""), [h for h in hits if h[0] != source]
+            status, hit = ("resolved-intra-source", own[0]) if own and (not other or kind == "label") else ("resolved", other[0]) if len(other) == 1 else ("ambiguous-target", None) if other else ("unresolved" if kind != "url" else "external-reference", None)
+            want.append((source, ref, target, status, *(hit or (None, None))))
+        out = fusion.resolve(spark.createDataFrame(refs, "source string, ref string, target string, kind string"), spark.createDataFrame(ids, "target string, target_source string, unit string"))
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
