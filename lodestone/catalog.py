@@ -204,7 +204,7 @@ def doc_lines_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS paragraph, first_line, n_lines, content FROM p"
 )
 def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_units.paragraphs(text_units.lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return text_units.paragraphs(text_units.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 @query(

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lodestone.functions import text as X
 
 LEVELS = 6
 
 
+def _running(sizes: Column) -> Column:
+    """What the entries before each one of an array of sizes add up to.
+
+    An array grows by copies, so sums run within blocks of about the root of n entries, and over the blocks.
+    """
+    before = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+    width = F.ceil(F.sqrt(F.size(sizes))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(sizes), width), lambda at: F.slice(sizes, at, width))
+    sums = F.transform(blocks, lambda block: before(block))
+    shifted = lambda own: F.zip_with(own, F.slice(before(F.transform(own, lambda x: F.element_at(x, -1))), F.lit(1), F.size(own)), lambda x, head: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y: y + head))
+    return F.flatten(X.let(sums, shifted))
+
+
+def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, content): lines in order, from 0."""
+    return docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "content"))
+
+
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, start, content): lines with their first character's offset."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            split = pc.split_pattern(b.column(1).cast(pa.large_string()), "\n")
-            row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False).astype(np.int64)
-            content = split.flatten()
-            size = pc.utf8_length(content).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            first = np.r_[True, row[1:] != row[:-1]][: len(row)]
-            of = np.cumsum(first) - 1
-            head = np.flatnonzero(first)
-            start = np.cumsum(size) - size
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array((np.arange(len(row)) - head[of]).astype(np.int32)), pa.array(start - start[head][of]), content.cast(pa.string())], names=[key, "line", "start", "content"])
-
-    # lengths are summed up within the row, so no line moves
-    return docs.select(key, F.col(text)).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("line", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("content", T.StringType())]))
+    split = docs.select(key, F.split(F.col(text), "\n", -1).alias("_lines"))
+    # lengths are summed up within the row, so no line moves, and by the JVM, which holds a row at a time
+    starts = X.let(F.transform("_lines", lambda x: (F.length(x) + 1).cast("long")), _running)
+    each = split.select(key, F.posexplode(F.arrays_zip(starts.alias("start"), F.col("_lines").alias("content"))).alias("line", "_at"))
+    return each.select(key, "line", "_at.start", "_at.content")
 
 
 def paragraphs(numbered: DataFrame, key: str) -> DataFrame:

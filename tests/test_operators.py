@@ -127,3 +127,26 @@ def test_resolution_against_every_pair(spark):
             want.append((source, ref, target, status, *(hit or (None, None))))
         out = fusion.resolve(spark.createDataFrame(refs, "source string, ref string, target string, kind string"), spark.createDataFrame(ids, "target string, target_source string, unit string"))
         assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_lines_and_paragraphs_without_python_workers(spark, tmp_path):
+    """Offsets of odd and long texts against Python's own split, by plans that hold one row at a time."""
+    texts = ["", "\n", "a", "a\nb\n", "é\n\n  \nüß x\n y ", "\n".join("xy" * (i % 7) for i in range(5000)), "\n" * 4999, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    by_line = text_units.lines(docs, "doc_id", "text")
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for i, x in enumerate(t.split("\n") if t is not None else []):
+            want.append((k, i, at, x))
+            at += len(x) + 1
+    assert sorted(map(tuple, by_line.collect())) == want
+    found = text_units.paragraphs(text_units.numbered_lines(docs, "doc_id", "text"), "doc_id")
+    got = [tuple(r) for r in found.where("doc_id < 5").orderBy("doc_id", "paragraph").collect()]
+    assert got == [(2, 0, 0, 1, "a"), (3, 0, 0, 2, "a b"), (4, 0, 0, 1, "é"), (4, 1, 3, 2, "üß x y")]
+    from lodestone import catalog
+
+    for out in (by_line, found, *(catalog.queries()[q](spark, "/root/testdata/sf0.001") for q in ("doc_paragraphs", "doc_lines_offsets"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "Python" not in plan
